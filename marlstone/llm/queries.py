@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, packing, simhash
 from .common import documents
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), packing.vocabulary())
 
@@ -19,7 +23,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pack, op6_mix)}
+    return {f.__name__: f for f in (op3_simhash, op5_pack, op6_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
