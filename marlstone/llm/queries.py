@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, packing, simhash, tokencount
+from . import flac, langid, mixing, packing, simhash, tokencount
 from .common import documents
 
 
@@ -30,8 +30,12 @@ def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), tokencount.vocabulary())
 
 
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_simhash, op5_pack, op6_mix, op8_tokencount)}
+    return {f.__name__: f for f in (op1_langid, op3_simhash, op5_pack, op6_mix, op8_tokencount, op9_flac)}
 
 
 def oracle_sql() -> dict[str, str]:
