@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, langid, mixing, packing, simhash, tokencount
+from . import flac, langid, mixing, packing, repeats, simhash, tokencount
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(documents(spark, sf_dir))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), packing.vocabulary())
 
@@ -35,7 +39,7 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_simhash, op5_pack, op6_mix, op8_tokencount, op9_flac)}
+    return {f.__name__: f for f in (op1_langid, op3_simhash, op4_repeats, op5_pack, op6_mix, op8_tokencount, op9_flac)}
 
 
 def oracle_sql() -> dict[str, str]:
