@@ -18,8 +18,13 @@ empty result.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,35 +37,116 @@ from .common import as_bytes, cut, pick, slices
 CAPACITY = 2048
 
 
+#: Punctuation that may end a chunk and is part of no special token; after a letter it always starts a pre-token.
+TAIL = ".,;:!?$%*&#"
+#: Words whose lower case and composed form are letter by letter: they take the fast path.
+PLAIN = re.compile("[a-zà-öø-þ]+")
+
+
+def fast_words(table: dict) -> tuple:
+    """A byte-pair encoder for lower-case Latin words with the same merges, and which of its ids end a word.
+
+    The vocabulary marks a word's last symbol; here that letter is in upper case instead, which normalised words never
+    have. The encoder merges by the joined symbols' rank instead of by listed pairs. Inside a word that is the same if
+    every token is what its own string encodes to: merges inside a token's span don't depend on what stands around it,
+    so such a span can only come from the listed pairs. Tokens that fail this test never occur and are left out.
+    """
+    import tiktoken
+
+    # The vocabulary file writes printable bytes as themselves and the others as characters from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    pairs = {tuple(m if isinstance(m, list) else m.split(" ")): n for n, m in enumerate(table["merges"])}
+    ids = [table["vocab"][a + b] for a, b in pairs]
+    if ids != sorted(set(ids)):
+        raise ValueError("ids aren't in order of merging")
+    own = set(range(97, 123)) | {0xC3} | set(range(0xA0, 0xBF))
+    ranks, ends = {}, []
+    for token, i in table["vocab"].items():
+        body = token.removesuffix("</w>")
+        end = body != token
+        raw = bytes(byte[c] for c in body if c in byte)
+        if raw and len(raw) == len(body) and set(raw) <= own and not (end and raw[-1] == 0xC3) and _derives(body, end, pairs):
+            ranks[raw[:-1] + bytes([raw[-1] - 32]) if end else raw] = i
+            ends += [i] * end
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}), np.array(ends)
+
+
+def _derives(body: str, end: bool, order: dict[tuple[str, str], int]) -> bool:
+    """Do the listed merges, lowest first, turn this string into one token?"""
+    parts = [*body[:-1], body[-1] + "</w>" * end]
+    while len(parts) > 1:
+        rank, at = min((order.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == 1 << 60:
+            return False
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
 class ChunkEncoder:
     """Token ids of texts by way of their chunks between ASCII white space.
 
     The vocabulary's pattern never crosses white space and its normaliser works character by character, so a text's
-    ids are its chunks' ids joined; chunks repeat, and a bounded table keeps their ids as little-endian bytes.
+    ids are its chunks' ids joined; chunks repeat, and a bounded table keeps their ids as little-endian bytes. A new
+    chunk that is a Latin word and punctuation goes to fast_words, any other one to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread, and one thread's memory, per worker
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.chunks, self.tails = Tokenizer.from_file(path), most, {}, {"": b""}
+        with open(path, encoding="utf-8") as f:
+            self.words, ends = fast_words(json.load(f)["model"])
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
+
+    def _slow(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        words, stems, tails, odd = [], [], [], []
+        for c in fresh:
+            whole = c.decode()
+            stem = whole.rstrip(TAIL)
+            low = stem.lower()
+            if PLAIN.fullmatch(low) and len(low) == len(stem):
+                words.append(c)
+                stems.append(low[:-1] + low[-1].upper())
+                tails.append(whole[len(stem) :])
+            else:
+                odd.append(c)
+        new = list(set(tails).difference(self.tails))
+        self.tails.update(zip(new, self._slow(new), strict=True))
+        if words:
+            ids = np.array(self.words.encode_ordinary(" ".join(stems)), "<u4")
+            raw, at = ids.tobytes(), 0
+            for c, tail, to in zip(words, tails, (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist(), strict=True):
+                self.chunks[c] = raw[at:to] + self.tails[tail]
+                at = to
+        for at in range(0, len(odd), 5_000):
+            some = odd[at : at + 5_000]
+            self.chunks.update(zip(some, self._slow([c.decode() for c in some]), strict=True))
+        if len(self.tails) > 20_000:
+            self.tails = {"": b""}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         parts = [t.split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        fresh = set()
-        for p in parts:
-            fresh.update(p)
-        fresh = list(fresh.difference(self.known))
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, "<u4").tobytes()
-        look = self.known.__getitem__
+        words = set().union(*parts)
+        if len(self.chunks) > self.most:
+            self.chunks.clear()
+        self._learn(list(words.difference(self.chunks)))
+        look = self.chunks.__getitem__
         for p in parts:
             yield b"".join(map(look, p))
 
 
+@lru_cache(1)
+def encoder(path: str) -> ChunkEncoder:
+    """One per Python worker, whatever the number of its tasks."""
+    return ChunkEncoder(path)
+
+
 class OpenBins:
     """Segment tree over remaining capacities: does any bin with this much room exist?"""
 
@@ -135,10 +221,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = ChunkEncoder(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
-        for batch in slices(batches):
+        coder, seen, part = encoder(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
+        for batch in slices(batches, most=1 << 20):
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(as_bytes(batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(as_bytes(batch.column(1))), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
