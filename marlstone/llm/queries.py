@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, langid, mixing, packing, repeats, simhash, tokencount
+from . import flac, html, langid, mixing, packing, repeats, simhash, tokencount
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(documents(spark, sf_dir))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
@@ -39,7 +43,7 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_simhash, op4_repeats, op5_pack, op6_mix, op8_tokencount, op9_flac)}
+    return {f.__name__: f for f in (op1_langid, op2_html, op3_simhash, op4_repeats, op5_pack, op6_mix, op8_tokencount, op9_flac)}
 
 
 def oracle_sql() -> dict[str, str]:
