@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, html, langid, mixing, packing, repeats, simhash, tokencount
+from . import flac, hamming, html, langid, mixing, packing, repeats, simhash, tokencount
 from .common import documents
 
 
@@ -42,9 +42,13 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(documents(spark, sf_dir))
 
 
+def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_html, op3_simhash, op4_repeats, op5_pack, op6_mix, op8_tokencount, op9_flac)}
+    return {f.__name__: f for f in (op1_langid, op2_html, op3_simhash, op4_repeats, op5_pack, op6_mix, op8_tokencount, op9_flac, op10_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix": mixing.SQL}
+    return {"op6_mix": mixing.SQL, "op10_hamming": hamming.SQL}
