@@ -157,8 +157,9 @@ def classes(docs: DataFrame, words: int = WORDS, within: int = WITHIN, list_limi
     joined = reps.join(roots, "fp")
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = joined.join(named, "root").select("fp", "component_id")
-    every = reps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return own.join(every, "fp").select("doc_id", "fp", "component_id")
+    every = reps.join(linked, "fp", "left").select(F.bitwise_not("fp").alias("key"), F.coalesce("component_id", "least").alias("component_id"))
+    # By a key that neither side is dealt by: both sides get an exchange, and the adaptive join can split a fingerprint of many copies.
+    return own.withColumn("key", F.bitwise_not("fp")).join(every, "key").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
