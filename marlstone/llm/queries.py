@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, hamming, html, langid, mixing, packing, repeats, simhash, tokencount
+from . import flac, hamming, html, langid, licences, mixing, packing, repeats, simhash, tokencount
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.findings(documents(spark, sf_dir))
+
+
 def op8_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir), tokencount.vocabulary())
 
@@ -47,7 +51,7 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_html, op3_simhash, op4_repeats, op5_pack, op6_mix, op8_tokencount, op9_flac, op10_hamming)}
+    return {f.__name__: f for f in (op1_langid, op2_html, op3_simhash, op4_repeats, op5_pack, op6_mix, op7_licences, op8_tokencount, op9_flac, op10_hamming)}
 
 
 def oracle_sql() -> dict[str, str]:
