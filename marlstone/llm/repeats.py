@@ -11,15 +11,16 @@ bytes need no shuffle, and Spark sorts (rank, position) pairs only where equal r
    an anchor). All string starts of an anchor with a unique rank are unique.
 2. At an anchor's whole context, the bytes of all 100-byte strings that it stands for (100 to 176 of them): all starts
    of a context that has occurred before are repeats. If all contexts of an anchor are equal, the first one is new.
-3. Starts of the first occurrence of contexts that share an anchor but differ: their rank pairs at 64 bytes, offset 36
-   (100 bytes), are sorted one by one; all but the first of each are repeats.
+3. Contexts that share an anchor but differ: their bytes are sorted by anchor, and inside each anchor's group the rank
+   pairs at 64 bytes, offset 36 (100 bytes), of all their starts; all but the first of each are repeats. An anchor
+   with more than GROUP contexts is not taken by one task: its starts are sorted one by one, by their rank pairs.
 
 Before each shuffle a task keeps the first occurrence of what it has itself seen and resolves the others on the spot,
 so a passage in a third of all documents arrives once per task. An anchor with many different contexts in a task (a
 line that many documents share) is dealt by context, with one marker row for the tasks where it is rare.
 
-Results are exact up to collisions of 128-bit (contexts, strings) fingerprint pairs. Texts travel twice: to the starts
-of step 3 and to the final cut. Documents are cut into pieces of 256 k starts, so ranks need bounded memory.
+Results are exact up to collisions of 128-bit (contexts, strings) fingerprint pairs. Texts are shuffled once, by
+document; step 3 and the final cut read the same exchange. Documents are cut into pieces of 256 k starts, so ranks need bounded memory.
 
 Defined cases: null text is empty; strings never cross documents; a null doc_id comes last in the order; rows that
 repeat a doc_id are put one after another by text hash, so the second of two equal rows is removed; empty tables give
@@ -36,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, pick, slices
+from .common import as_bytes, cut, slices
 
 LENGTH, ANCHOR = 100, 24
 WINDOW = LENGTH - ANCHOR + 1
-#: String starts per piece of text; different contexts of one anchor in a task before it is dealt by context; rows a task combines at once.
-PIECE, MANY, COMBINE = 1 << 18, 16, 1 << 21
+#: String starts per piece of text; different contexts of one anchor in a task before it is dealt by context; rows a
+#: task combines at once; different contexts of one anchor before its starts are dealt one by one.
+PIECE, MANY, COMBINE, GROUP = 1 << 18, 16, 1 << 21, 512
 ROW, MARKER, KNOWN, REPEAT = 0, 1, 2, 3
+DONE, BY_CONTEXT, BY_START = 0, 1, 2
 LAST = 2**63 - 1
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -216,7 +219,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[l
 
 
 def _ranked_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (key, context, doc, at) to stretches of starts: repeats, or to be ranked on (probe)."""
+    """Rows in order of (key, context, doc, at) to stretches of starts: repeats (DONE), or to be ranked on, and how."""
     for key, context, doc, at in _sorted_groups(batches, 1):
         flag, n, start = at & 3, at >> 2 & 127, at >> 9
         sure = flag == REPEAT
@@ -226,78 +229,130 @@ def _ranked_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         new_context = new_key.copy()
         new_context[1:] |= context[1:] != context[:-1]
         group = np.cumsum(new_key) - 1
-        several = (np.bincount(group, new_context | (flag == MARKER) | (flag == KNOWN)) + np.bincount(group, (flag == MARKER) | (flag == KNOWN))) > 1
-        old = (~new_context & (flag != MARKER)) | sure
-        probe = new_context & several[group] & ((flag == ROW) | (flag == KNOWN))
-        some = old | probe
+        contexts = np.bincount(group, new_context)
+        common = (np.bincount(group, (flag == MARKER) | (flag == KNOWN)) > 0) | (contexts > GROUP)  # alike for all rows of an anchor
+        probe = new_context & ((contexts > 1) | common)[group] & ((flag == ROW) | (flag == KNOWN))
+        some = (~new_context & (flag != MARKER)) | sure | probe
+        how = np.where(probe & ~sure, np.where(common[group], BY_START, BY_CONTEXT), DONE).astype(np.int32)
         if some.any():
-            yield pa.record_batch([pa.array(x[some]) for x in (doc, start, n, probe & ~sure)], names=["doc", "start", "n", "probe"])
+            yield pa.record_batch([pa.array(x[some]) for x in (doc, start, n, how)], names=["doc", "start", "n", "how"])
 
 
-def _start_rows(probes: DataFrame) -> DataFrame:
-    """(doc, text, list of stretches) to rank pairs at 64 bytes, offset 36; context `n` > 0 marks stretches already known to repeat."""
+def _to_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, rest, text, stretches) to rows to sort: contexts (key: the anchor's rank; n starts; their bytes) and
+    single starts (key, second: the rank pair; n = 0), of which a task sends the first of each and repeats (n = -length)."""
+    names = ["key", "second", "doc", "start", "n", "bytes"]
+    held: list[tuple] = []
 
-    def combined(r1, r2, doc, start):
-        name = pair(r1, r2)
-        order = _first_seen(name, doc, start)
-        r1, r2, doc, start, name = (x[order] for x in (r1, r2, doc, start, name))
-        old = np.zeros(len(name), bool)
-        old[1:] = name[1:] == name[:-1]
+    def starts() -> Iterator[pa.RecordBatch]:
+        r1, r2, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((start, doc, r2, r1))
+        r1, r2, doc, start = r1[order].view(np.int64), r2[order].view(np.int64), doc[order], start[order]
+        old = np.zeros(len(r1), bool)
+        old[1:] = (r1[1:] == r1[:-1]) & (r2[1:] == r2[:-1])
         d, s, n = _runs(doc[old], start[old], np.ones(int(old.sum()), np.int64))
-        cols = [np.concatenate([r1[~old].view(np.int64), _mix(d.astype(np.uint64)).view(np.int64) ^ s]), np.concatenate([r2[~old].view(np.int64), s]), np.concatenate([doc[~old], d]), np.concatenate([start[~old], s]), np.concatenate([np.zeros(int((~old).sum()), np.int64), n])]
+        cols = [np.concatenate(x) for x in ((r1[~old], _mix(d.astype(np.uint64) + A).view(np.int64) ^ s), (r2[~old], s), (doc[~old], d), (start[~old], s), (np.zeros(int((~old).sum()), np.int64), -n))]
         for at in range(0, len(cols[0]), 1 << 16):
-            yield pa.record_batch([pa.array(c[at : at + (1 << 16)]) for c in cols], names=["r1", "r2", "doc", "start", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in slices(batches):
-            for doc, text, spans in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2), strict=True):
-                spans = spans.values
-                start, n = (spans.field(i).to_numpy() for i in (0, 1))
-                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                for a in range(0, len(text), PIECE):
-                    own = at[(at >= a) & (at < a + PIECE)]
-                    if len(own):
-                        r = rank24(np.frombuffer(text[a : a + PIECE + LENGTH] + b"\0" * 128, np.uint8))
-                        held.append((rank64(r, own - a), rank64(r, own - a + LENGTH - 64), np.full(len(own), doc), own))
-                        size += len(own)
-            if size >= COMBINE:
-                yield from combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-        if size:
-            yield from combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    return probes.mapInArrow(run, "r1 long, r2 long, doc long, start long, n long")
-
-
-def _ranked_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (r1, r2, doc, start): all but the first of a rank pair, joined to stretches."""
-    for r1, r2, doc, start, n in _sorted_groups(batches, 2):
-        old = n > 0
-        old[1:] |= (r1[1:] == r1[:-1]) & (r2[1:] == r2[:-1])
-        if old.any():
-            d, s, m = _runs(doc[old], start[old], np.maximum(n[old], 1))
-            yield pa.record_batch([pa.array(x) for x in (d, s, m)], names=["doc", "start", "n"])
+            part = [pa.array(c[at : at + (1 << 16)]) for c in cols]
+            yield pa.record_batch([*part, pa.nulls(len(part[0]), pa.binary())], names=names)
+        held.clear()
+
+    for b in slices(batches):
+        out: list[tuple] = []
+        for doc, text, spans in zip(b.column(0).to_pylist(), as_bytes(b.column(2)), b.column(3), strict=True):
+            own = spans.values
+            order = np.argsort(own.field(0).to_numpy(), kind="stable")
+            start, n, how = (own.field(i).to_numpy()[order] for i in range(3))
+            for piece in np.unique(start // PIECE).tolist():
+                base = piece * PIECE
+                r = rank24(np.frombuffer(text[base : base + PIECE + 2 * LENGTH] + b"\0" * 128, np.uint8))
+                here = start // PIECE == piece
+                for s, m in zip(start[here & (how == BY_CONTEXT)].tolist(), n[here & (how == BY_CONTEXT)].tolist(), strict=True):
+                    # The anchor has the smallest rank of the positions that all the stretch's windows share.
+                    out.append((int(r[s - base + m - 1 : s - base + WINDOW].min().view(np.int64)), 0, doc, s, m, text[s : s + m + LENGTH - 1]))
+                s, m = start[here & (how == BY_START)], n[here & (how == BY_START)]
+                if len(s):
+                    at = np.repeat(s - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                    held.append((rank64(r, at - base), rank64(r, at - base + LENGTH - 64), np.full(len(at), doc), at))
+        if out:
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.binary() if i == 5 else pa.int64()) for i in range(6)], names=names)
+        if sum(len(h[0]) for h in held) >= COMBINE:
+            yield from starts()
+    if held:
+        yield from starts()
+
+
+def _starts(contexts: list[bytes], doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rank pairs at 64 bytes, offset 36, of all string starts of some contexts, their documents, starts and row numbers."""
+    sizes = np.array([len(x) for x in contexts])
+    first = np.cumsum(sizes) - sizes
+    r = rank24(np.frombuffer(b"".join(contexts) + b"\0" * 128, np.uint8))
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = first[row] + step
+    return rank64(r, at), rank64(r, at + LENGTH - 64), doc[row], start[row] + step, row
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _to_rank in order of (key, second, doc, start) to stretches of repeated starts."""
+
+    def stretches(doc, start, n=None) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x) for x in _runs(doc, start, np.ones(len(doc), np.int64) if n is None else n)], names=["doc", "start", "n"])
+
+    def rank(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        key, second, doc, start, n = (whole.column(i).to_numpy() for i in range(5))
+        yield stretches(doc[n < 0], start[n < 0], -n[n < 0])
+        i = np.flatnonzero(n == 0)
+        if len(i):
+            old = np.zeros(len(i), bool)
+            old[1:] = (key[i[1:]] == key[i[:-1]]) & (second[i[1:]] == second[i[:-1]])
+            yield stretches(doc[i[old]], start[i[old]])
+        i = np.flatnonzero(n > 0)
+        if len(i):
+            r1, r2, d, s, row = _starts(whole.column(5).take(pa.array(i)).to_pylist(), doc[i], start[i], n[i])
+            r1 ^= _mix(key[i].view(np.uint64)[row] * A)  # keeps groups apart
+            order = np.lexsort((s, d, r2, r1))
+            r1, r2, d, s = r1[order], r2[order], d[order], s[order]
+            old = np.zeros(len(r1), bool)
+            old[1:] = (r1[1:] == r1[:-1]) & (r2[1:] == r2[:-1])
+            yield stretches(d[old], s[old])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        to = int(np.searchsorted(key, key[-1]))
+        if to or held and held[-1].column(0)[-1].as_py() != key[0]:
+            if to:
+                held.append(b.slice(0, to))
+            yield from rank(held)
+            held = []
+        held.append(b.slice(to))
+    if held:
+        yield from rank(held)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc (unique, in the order of doc_id), doc_id, text."""
-    own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+def _numbered(docs: DataFrame, rest: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """doc (unique, in the order of doc_id), rest (a struct of the columns to keep), text."""
+    own = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col("`text`"))
     if own.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return own.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "doc_id", "text")
+        return own.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "rest", "text")
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    return cut(own.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"))
+    return cut(own.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("doc"), "rest", "text"))
 
 
 def repeated_starts(numbered: DataFrame) -> DataFrame:
     """(doc, spans): stretches (start, n) of string starts that have occurred before, for documents that have any."""
     order = ("key", "context", "doc", "at")
-    found = cut(_anchor_rows(numbered.select("doc", "text")).repartition("key").sortWithinPartitions(*order).mapInArrow(_ranked_contexts, "doc long, start long, n long, probe boolean"))
-    lists = found.where("probe").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    probes = numbered.select("doc", "text").join(lists, "doc").select("doc", "text", "spans")
-    order = ("r1", "r2", "doc", "start")
-    starts = _start_rows(probes).repartition("r1", "r2").sortWithinPartitions(*order).mapInArrow(_ranked_starts, "doc long, start long, n long")
-    every = found.where("not probe").select("doc", "start", "n").union(starts)
+    found = cut(_anchor_rows(numbered.select("doc", "text")).repartition("key").sortWithinPartitions(*order).mapInArrow(_ranked_contexts, "doc long, start long, n long, how int"))
+    lists = found.where(f"how <> {DONE}").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "how")).alias("spans"))
+    probes = numbered.join(lists, "doc").select("doc", "rest", "text", "spans")
+    to_rank = probes.mapInArrow(_to_rank, "key long, second long, doc long, start long, n long, bytes binary")
+    order = ("key", "second", "doc", "start")
+    ranked = to_rank.repartition("key").sortWithinPartitions(*order).mapInArrow(_ranked, "doc long, start long, n long")
+    every = found.where(f"how = {DONE}").select("doc", "start", "n").union(ranked)
     return every.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
@@ -323,10 +378,13 @@ def _kept(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join([*parts, text[at:]]), gone
 
 
+def _with_spans(docs: DataFrame, rest: tuple[str, ...]) -> DataFrame:
+    numbered = _numbered(docs, rest)
+    return numbered.join(repeated_starts(numbered), "doc", "left").select("rest", "text", "spans")
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, text, kept (the remaining bytes), spans (array of removed runs) for every row."""
-    numbered = _numbered(docs)
-    joined = numbered.join(repeated_starts(numbered), "doc", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -334,12 +392,35 @@ def removed(docs: DataFrame) -> DataFrame:
             rows = [_kept(t, s) for t, s in zip(as_bytes(b.column(1)), b.column(2), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([[{"from": x, "to": y} for x, y in r[1]] for r in rows], kind)], names=["doc_id", "text", "kept", "spans"])
 
+    joined = _with_spans(docs, ("doc_id",)).select(F.col("rest.doc_id").cast("long").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(run, "doc_id long, text string, kept binary, spans array<struct<from: long, to: long>>")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Every row with its own columns, its text without the repeats (characters cut in two go with them) and, if there is
+    such a column, n_chars counted anew; texts without a repeat are untouched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts, spans = b.column(1), b.column(2)
+            new = [_kept(t, s)[0].decode(errors="ignore") if s.is_valid else None for t, s in zip(as_bytes(texts), spans, strict=True)]
+            text = pa.array([o if n is None else n for o, n in zip(texts.to_pylist(), new, strict=True)], pa.string())
+            size = pa.array([None if n is None else len(n) for n in new], pa.int64())
+            yield pa.record_batch([b.column(0), text, size], names=["rest", "text", "n"])
+
+    names = tuple(docs.columns)
+    rest = tuple(c for c in names if c != "text")
+    joined = _with_spans(docs, rest)
+    kind = joined.schema["rest"].dataType.simpleString()
+    out = joined.mapInArrow(run, f"rest {kind}, text string, n long")
+    own = {c: F.col("rest").getField(c) for c in rest} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.coalesce(F.col("n").cast(docs.schema["n_chars"].dataType), own["n_chars"])
+    return out.select(*[own[c].alias(c) for c in names])
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    numbered = _numbered(docs)
-    joined = numbered.join(repeated_starts(numbered), "doc", "left").select("doc_id", "text", "spans")
+    joined = _with_spans(docs, ("doc_id",)).select(F.col("rest.doc_id").cast("long").alias("doc_id"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -75,3 +75,34 @@ def test_pieces_cover_all_starts(n):
             seen[t] = seen.get(t, 0) + s
             assert o + s + 99 <= len(texts[t])
     assert seen == {i: len(t) - 99 for i, t in enumerate(texts) if len(t) >= 100}
+
+
+@pytest.mark.parametrize("how", [(repeats.BY_CONTEXT,), (repeats.BY_START,)])
+def test_ranking_by_context_and_by_start(how):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    shared = "".join(rng.choice("abcdef") for _ in range(130))
+    texts = ["".join(rng.choice("xyz ") for _ in range(80)) + shared[: rng.randrange(100, 130)] + "".join(rng.choice("uvw ") for _ in range(80)) for _ in range(40)]
+    own = []
+    for t in texts:
+        for buf, first, starts, _, _ in repeats.pieces([t.encode()]):
+            _, _, begin, n, _ = repeats.anchors(buf, first, starts)
+            own.append([{"start": int(b), "n": int(m), "how": how[0]} for b, m in zip(begin, n)])
+    spans = pa.array(own, pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("how", pa.int32())])))
+    parts = []
+    for a in range(0, 40, 10):  # four tasks
+        ids = pa.array(range(a, a + 10))
+        parts += repeats._to_rank(iter([pa.record_batch([ids, ids, pa.array(texts[a : a + 10]), spans.slice(a, 10)], names=["doc", "doc_id", "text", "spans"])]))
+    rows = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("key", "second", "doc", "start")])
+    got = set()
+    for b in repeats._ranked(iter(rows.to_batches(max_chunksize=7))):
+        for d, s, n in zip(*(c.to_pylist() for c in b.columns)):
+            got |= {(d, s + k) for k in range(n)}
+    seen, want = set(), set()
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                want.add((i, p))
+            seen.add(t[p : p + 100])
+    assert got == want and want
