@@ -10,7 +10,7 @@ the source's name and the seed, is added and a document is emitted once per inte
 floor(i * r + u) - floor((i - 1) * r + u). In order of size the words taken stay within about twice the largest
 document of the target, and no document exceeds ceil(r) <= `most` copies.
 
-The ranks come from one range shuffle over (source, size, doc_id), so a source with a third of all rows is spread over
+The ranks come from one range shuffle of ids and sizes over (source, size, doc_id), so a source with a third of all rows is spread over
 as many tasks as its rows need: a row's place inside its partition plus the counts of earlier partitions. Nothing but
 one row per source is ever in one task.
 
@@ -88,9 +88,20 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every input row as often as it is taken, with its own columns."""
-    out = copies(docs, keep=tuple(docs.columns), **how).where("copies > 0")
-    return out.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "kept").select("kept.*")
+    """The mix itself: every input row as often as it is taken, with its own columns.
+
+    Ranks are found without the texts; these move once, in the join by id and a hash of id, source and text. Rows that
+    are equal in all three share their copies evenly.
+    """
+    order = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(2**63 - 1))
+    keyed = docs.select("*", order.alias("__id"), F.xxhash64(F.col("`doc_id`"), F.col("`source`"), F.col("`text`")).alias("__hash"))
+    taken = copies(keyed, keep=("__id", "__hash"), **how)
+    taken = taken.groupBy("kept.__id", "kept.__hash").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
+    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
+    joined = keyed.join(taken, ["__id", "__hash"]).withColumn("__place", place)
+    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__place") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    out = joined.withColumn("__own", own.cast("int")).where("__own > 0")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__own"))).alias("__copy")).drop("__copy")
 
 
 SQL = r"""

@@ -24,7 +24,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, pick, slices
@@ -65,11 +65,14 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, a hash of the text, and the fingerprint of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.record_batch([b.column(0), pa.array([fingerprint(t, words) for t in as_bytes(b.column(1))], pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([fingerprint(t, words) for t in as_bytes(b.column(1))], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def local_links(key: np.ndarray, fp: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,16 +153,16 @@ def _by_midpoints(crowded: DataFrame, radius: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = WORDS, within: int = WITHIN, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id for every row."""
+    """doc_id, text_hash, fp, component_id and the component's root fingerprint for every row."""
     own = cut(fingerprints(docs, words))
     reps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(reps.select("fp"), within, list_limit)).withColumnRenamed("node", "fp")
     joined = reps.join(roots, "fp")
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = joined.join(named, "root").select("fp", "component_id")
-    every = reps.join(linked, "fp", "left").select(F.bitwise_not("fp").alias("key"), F.coalesce("component_id", "least").alias("component_id"))
+    linked = joined.join(named, "root").select("fp", "root", "component_id")
+    every = reps.join(linked, "fp", "left").select(F.bitwise_not("fp").alias("key"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     # By a key that neither side is dealt by: both sides get an exchange, and the adaptive join can split a fingerprint of many copies.
-    return own.withColumn("key", F.bitwise_not("fp")).join(every, "key").select("doc_id", "fp", "component_id")
+    return own.withColumn("key", F.bitwise_not("fp")).join(every, "key").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -167,12 +170,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one row left of each component: the smallest doc_id, one of its rows if that is repeated.
+    """The documents with one row left of each component: the smallest doc_id (null last; then by text hash).
 
-    Components whose doc_ids are all null keep one row.
+    Texts move once, in the join by id; of rows that are equal in id and text one stays.
     """
-    names = docs.columns
     found = classes(docs, **how)
-    kept = found.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    first = docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("`doc_id`").cast("long").eqNullSafe(F.col("__kept"))).drop("__kept")
-    return first.dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in names])
+    order = lambda c: F.coalesce(c.cast("long"), F.lit(2**63 - 1))
+    first = found.groupBy("root").agg(F.min(F.struct(order(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash"))).alias("m")).select("m.*")
+    keyed = docs.select("*", order(F.col("`doc_id`")).alias("__id"), F.xxhash64(F.col("`text`")).alias("__hash"))
+    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
+    return keyed.join(first, ["__id", "__hash"]).withColumn("__place", place).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
