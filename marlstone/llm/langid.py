@@ -7,8 +7,8 @@ that cosine is below the radius for texts of its length; the radii are half the
 texts, and by pieces of them, of about that many letters, so they only turn away what resembles no language learned.
 
 The model is fitted on a bounded sample: of the labelled rows outside the held-out quarter, the `per_language`
-documents of each language with the smallest hash of their id. The bound is the parameter; every task keeps at most
-that many per language before the shuffle, and the sample, not the corpus, reaches the driver. Prediction is one pass
+documents of each language with the smallest hash of their id. The bound is the parameter: about four times as many
+ids per language are ranked, and the sample, not the corpus, reaches the driver. Prediction is one pass
 over whole texts with the model in the closure (languages * clusters * dims floats).
 
 Defined cases: null text, or text without a letter, is `und` with score 0 and rejected. Without any labelled row every
@@ -143,8 +143,13 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """(lang, text) of at most per_language documents of each language, chosen by a hash of their id."""
     able = pick(docs, "doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = able.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct()
+    # A language's share of ids by hash, about four times the bound, so that the ranking sees as many rows whatever the table's size.
+    counts = able.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # The model holds centroids of every language, so one count per language is small by design.
+    drawn = able.select("lang", "doc_id").join(F.broadcast(counts), "lang").where(draw * F.col("n") <= 4 * per_language)
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    ids = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id").distinct()
     rows = able.join(F.broadcast(ids), "doc_id").select("lang", "text").collect()  # bounded by per_language
     return [(r.lang, r.text) for r in rows]
 
