@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, cut, slices
 
@@ -411,8 +412,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = tuple(docs.columns)
     rest = tuple(c for c in names if c != "text")
     joined = _with_spans(docs, rest)
-    kind = joined.schema["rest"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"rest {kind}, text string, n long")
+    out = joined.mapInArrow(run, T.StructType([joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
     own = {c: F.col("rest").getField(c) for c in rest} | {"text": F.col("text")}
     if "n_chars" in own:
         own["n_chars"] = F.coalesce(F.col("n").cast(docs.schema["n_chars"].dataType), own["n_chars"])
