@@ -37,9 +37,10 @@ class RunResult:
         return sum(len(r.warnings) for r in self.reports)
 
     def summary(self) -> str:
-        loaded = ", ".join(f"{k}={v}" for k, v in self.loaded_rows.items()) or "none"
-        held = ", ".join("/".join(q) for q in self.quarantined) or "none"
-        return f"run {self.run_id} [{self.mode}] loaded=({loaded}) quarantined=({held}) errors={self.n_errors} warnings={self.n_warnings}"
+        parts = [f"{self.mode} run {self.run_id}"]
+        parts += [f"{n} rows in {dataset}" for dataset, n in self.loaded_rows.items()] or ["nothing loaded"]
+        parts += [f"{dataset} from {source} quarantined" for dataset, source in self.quarantined]
+        return "; ".join([*parts, f"{self.n_errors} errors, {self.n_warnings} warnings"])
 
 
 def collect_live(zone: RawZone, run: Run, settings: Settings, sources, start: dt.date, end: dt.date) -> list[Snapshot]:

@@ -389,11 +389,11 @@ def load_metadata(spark, d):
     return _loaded(spark, d).table("dataset_metadata").select("dataset", "source", "row_count", "date_min", "date_max")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name || ', \"' || c_mktsegment || '\"' END AS label FROM customer WHERE c_custkey <= 100")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name || ', \"' || CAST(n_regionkey AS VARCHAR) || '\"' END AS label FROM nation")
 def raw_roundtrip(spark, d):
-    """A payload of 100 rows, which is what a connector hands over, through the raw zone."""
-    quoted = F.concat(F.col("c_name"), F.lit(', "'), F.col("c_mktsegment"), F.lit('"'))
-    rows = table(spark, d, "customer").where("c_custkey <= 100").select(F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise(quoted)).collect()
+    """A payload as a connector hands it over (a table of fixed size), through the raw zone."""
+    quoted = F.concat(F.col("n_name"), F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"'))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(quoted)).collect()
     zone = RawZone(spark, shared_folder(spark))
     snapshot = zone.write("test", "macro_data", ["id", "label"], rows, Run.new("offline", {}), retrieved_at=utc_now())
     if zone.verify([snapshot]):

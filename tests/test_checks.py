@@ -218,7 +218,7 @@ def test_report_rules():
     r.add([fail("b", "bad", Severity.ERROR), fail("c", "so so")])
     r.add(None)
     assert r.blocking and [x.name for x in r.errors] == ["b"] and [x.name for x in r.warnings] == ["c"] and r.max_severity is Severity.ERROR
-    assert [row[7] for row in r.rows()] == ["INFO", "ERROR", "WARNING"] and "errors=1" in r.summary()
+    assert [row[7] for row in r.rows()] == ["INFO", "ERROR", "WARNING"] and "1 errors" in r.summary()
 
 
 def test_a_report_does_not_depend_on_partitioning(spark):

@@ -104,7 +104,7 @@ def test_cli(spark, sample, result, monkeypatch, capsys):
     monkeypatch.setenv("MARL_SAMPLE_RAW_DIR", sample[2].sample_dir)
     get_settings.cache_clear()
     try:
-        for argv, said in ((["datasets"], "market_prices"), (["query", "price_panel"], "spy"), (["query", "SELECT 41 + 1 AS x"], "42"), (["sources"], "yfinance"), (["load", "macro_data", "--sources", "fred", "--end", "2019-01-02"], "US_VIX"), (["report"], "check_name"), (["metadata"], "row_count"), (["run", "--sources", "akshare"], "macro_data=7785")):
+        for argv, said in ((["datasets"], "market_prices"), (["query", "price_panel"], "spy"), (["query", "SELECT 41 + 1 AS x"], "42"), (["sources"], "yfinance"), (["load", "macro_data", "--sources", "fred", "--end", "2019-01-02"], "US_VIX"), (["report"], "check_name"), (["metadata"], "row_count"), (["run", "--sources", "akshare"], "7785 rows in macro_data")):
             assert cli.main(argv, spark) == 0
             assert said in capsys.readouterr().out
         monkeypatch.setenv("MARL_DATA_DIR", sample[2].data_dir + "-none")
