@@ -194,7 +194,8 @@ def fit(sample: list[str], seed: int = 5, each: int = 40, rounds: int = 300, rat
     templates = {f: [pairs(words_of(s)) for s in NOTICES[f]] for f in families[1:]}
     said = [words_of(s) for f in families[1:] for s in NOTICES[f]]
     keys = frozenset(w for s in said for w in s if w not in COMMON and not w.isdigit())
-    lines = [w for s in sorted(sample) if (w := words_of(s))][:5000]
+    lines = [w for s in sorted(set(sample)) if (w := words_of(s))]
+    lines = [lines[i] for i in np.sort(rng.permutation(len(lines))[:5000])]
     lines = [w for w in lines if keys.isdisjoint(w) or max(overlap(pairs(w), t) for own in templates.values() for t in own) < 0.3]
     filler = sorted({x for w in lines[:500] for x in w if x not in keys})[:2000] or ["lorem", "ipsum", "dolor"]
     rows, label = [], []
@@ -258,8 +259,8 @@ def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str
     n = own.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ids = own.select("doc_id").where(draw * n <= 2 * sample_docs).orderBy(draw, "doc_id").limit(sample_docs)
-    some = own.join(F.broadcast(ids.distinct()), "doc_id").select(F.slice(F.split("text", "\n"), 1, 20).alias("lines"))  # bounded by sample_docs
-    return [x for r in some.collect() for x in r.lines]
+    some = own.join(F.broadcast(ids.distinct()), "doc_id").select("text")  # whole texts, bounded by sample_docs
+    return [x for r in some.collect() for x in r.text.split("\n")]
 
 
 SCHEMA = "doc_id long, licences array<string>, n_findings long, n_unknown long, confidence double"
