@@ -6,13 +6,13 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marlstone.llm import langid, packing
+from marlstone.llm import langid, packing, simhash
 from marlstone.llm.common import documents
 
 from .test_mixing import share
 
 
-def shingle_print(text, words=5):
+def shingle_print(text, words=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
         return 0
@@ -33,6 +33,17 @@ def first_of_each(rows):
             if (prints[i] ^ prints[j]).bit_count() <= 4:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
+    reps = [i for i in range(len(rows)) if find(i) == i]
+    wide = {i: simhash.wide_fingerprint((rows[i][1] or "").encode()) for i in reps}
+    for x, i in enumerate(reps):
+        for j in reps[:x]:
+            a, b = (np.frombuffer(wide[k][0], np.uint64) for k in (i, j))
+            tally = (np.frombuffer(wide[i][0][:16], np.uint8) == np.frombuffer(wide[j][0][:16], np.uint8)).reshape(2, 8).sum(axis=1)
+            if tally.max() < 2 or np.bitwise_count(a[:2] ^ b[:2]).sum() > 34:
+                continue
+            if simhash.similarity(np.bitwise_count(a ^ b).sum(), np.array(wide[i][1]), np.array(wide[j][1])) >= 0.77:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
     return [r for i, r in enumerate(rows) if find(i) == i]
 
 
