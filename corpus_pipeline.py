@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component: five words a shingle."""
-    return simhash.keep_first(docs, words=5)
+    """One row of each near-duplicate group: op3's components, and texts whose five-word shingles are 0.8 or more alike."""
+    return simhash.similar_first(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
