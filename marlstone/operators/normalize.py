@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import CURVE_DATE, MACRO_DATA, MARKET_PRICES, TableContract
 from ..functions import date_from_text, number_from_text, trimmed
-from ..registries import series_table, ticker_table
-from ..settings import logger
+from ..registries import canonical_unit, series_table, ticker_table
+from ..settings import logger, utc_now
 from ..sources.rawzone import ORDER, RawZone, Snapshot
 
 
@@ -32,11 +32,17 @@ def unpivot(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame
     return df.unpivot([F.col(f"`{k}`") for k in keys], [F.col(f"`{c}`") for c in df.columns if c not in keys], label, value)
 
 
-def convert(value, factor, scale):
+def convert(value: Column, factor: Column, scale: Column) -> Column:
     """A value in its canonical unit, multiplied in one fixed order."""
     return value * factor * scale
 
 
+def convert_unit(value: Column, source_unit: str, extra_scale: float = 1.0) -> tuple[Column, str]:
+    """The value in the canonical unit of a declared source unit, and that unit; UnknownUnitError for any other."""
+    unit, factor = canonical_unit(source_unit)
+    return convert(value, F.lit(factor), F.lit(extra_scale)), unit
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     return df if ORDER in df.columns else df.withColumn(ORDER, F.struct(F.lit(0).alias("snapshot"), F.monotonically_increasing_id().alias("row")))
 
@@ -87,5 +93,14 @@ def normalize_snapshots(zone: RawZone, snapshots: list[Snapshot], run_id: str, i
     return {d: reduce(DataFrame.unionByName, parts) if parts else empty(zone.spark, NORMALIZERS[d][1]) for d, parts in out.items()}
 
 
+def normalize_latest(zone: RawZone, run_id: str, ingested_at: dt.datetime | None = None) -> dict[str, DataFrame]:
+    """The canonical tables of the latest snapshot of every source and dataset in a raw zone."""
+    found = {(s.source, s.dataset) for s in zone.list_snapshots()}
+    if not found:
+        raise FileNotFoundError(f"no snapshots under {zone.root}")
+    latest = [s for key in sorted(found) if (s := zone.latest(*key)) is not None]
+    return normalize_snapshots(zone, latest, run_id, ingested_at or utc_now())
+
+
 def empty(spark: SparkSession, contract: TableContract) -> DataFrame:
     return _ordered(spark.createDataFrame([], contract.to_struct()))

@@ -175,6 +175,21 @@ def test_normalizers(spark):
     assert normalize.empty(spark, normalize.MACRO_DATA).count() == 0
 
 
+def test_units(spark):
+    df = spark.createDataFrame([(42.5,)], "x double")
+    value, unit = normalize.convert_unit(F.col("x"), "tenths_of_percent")
+    assert unit == "percent" and df.select(value).first()[0] == 42.5 * 0.1
+    with pytest.raises(ValueError):
+        normalize.convert_unit(F.col("x"), "furlongs")
+
+
+def test_normalize_latest(spark, sample, tmp_path):
+    tables = normalize.normalize_latest(sample[0], "r")
+    assert {k: df.count() for k, df in tables.items()} == {"market_prices": 4686, "macro_data": 15615}
+    with pytest.raises(FileNotFoundError):
+        normalize.normalize_latest(RawZone(spark, f"{tmp_path}/none"), "r")
+
+
 def macro_rows(spark, source, n=5, value=1.0):
     return spark.range(n).select(
         F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit("X").alias("indicator"), F.lit(source).alias("source"), F.lit(value).alias("value"), F.lit("percent").alias("unit"), F.lit("B").alias("frequency"),
