@@ -12,7 +12,7 @@ ids per language are ranked, and the sample, not the corpus, reaches the driver.
 over whole texts with the model in the closure (languages * clusters * dims floats).
 
 Defined cases: null text, or text without a letter, is `und` with score 0 and rejected. Without any labelled row every
-text is `und`. A null doc_id is never trained on and not held out. Repeated rows each get their row.
+text is `und` with score 0, and only texts without a letter are rejected. A null doc_id is never trained on and not held out. Repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -158,14 +158,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(len(model.idf)) if model else None
+        grams = Grams(len(model.idf) if model else DIMS)
         for b in slices(batches, most=1 << 18):
             texts = as_bytes(b.column(1))
-            pred, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+            counts, letters = grams.counts(texts)
+            some = letters > 0
+            pred, score, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), ~some
             if model:
-                counts, letters = grams.counts(texts)
                 best, cosine = model.nearest(counts)
-                some = letters > 0
                 pred = [model.languages[i] if x else UNKNOWN for i, x in zip(best, some, strict=True)]
                 score, out = np.where(some, cosine, 0.0).astype(float), ~some | (cosine < model.radius(letters))
             yield pa.record_batch([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out)], names=["doc_id", "lang_pred", "score", "rejected"])
@@ -183,12 +183,12 @@ def keep_known(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     model, names, at = fit(training_sample(docs, per_language)), docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(len(model.idf)) if model else None
+        grams = Grams(len(model.idf) if model else DIMS)
         for b in slices(batches, column=names[at], most=1 << 18):
-            if not model:
-                continue
             counts, letters = grams.counts(as_bytes(b.column(at)))
-            _, cosine = model.nearest(counts)
-            yield b.filter(pa.array((letters > 0) & (cosine >= model.radius(letters))))
+            kept = letters > 0
+            if model:
+                kept &= model.nearest(counts)[1] >= model.radius(letters)
+            yield b.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

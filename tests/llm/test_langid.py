@@ -46,4 +46,6 @@ def test_edge_rows(docs):
     kept = langid.keep_known(df)
     assert kept.columns == df.columns and kept.where("doc_id in (500, 501, 502, 505)").count() == 0 and kept.where("doc_id < 500").count() == 60
     assert langid.digest(docs([])).count() == 0
-    assert [r.lang_pred for r in langid.digest(docs([(1, "text", "a", None)])).collect()] == ["und"]
+    unlabelled = docs([(1, "text", "a", None), (2, "12", "a", None)])
+    assert sorted((r.doc_id, r.lang_pred, r.rejected) for r in langid.digest(unlabelled).collect()) == [(1, "und", False), (2, "und", True)]
+    assert [r.doc_id for r in langid.keep_known(unlabelled).collect()] == [1]
