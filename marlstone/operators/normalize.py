@@ -12,7 +12,7 @@ from ..contracts import CURVE_DATE, MACRO_DATA, MARKET_PRICES, TableContract
 from ..functions import date_from_text, number_from_text, trimmed
 from ..registries import canonical_unit, series_table, ticker_table
 from ..settings import logger, utc_now
-from ..sources.rawzone import ORDER, RawZone, Snapshot
+from ..sources.rawzone import ORDER, RawZone, Snapshot, arrival
 
 
 def mapped(df: DataFrame, registry: DataFrame, source: str, symbol: str) -> DataFrame:
@@ -28,8 +28,16 @@ def unmapped(df: DataFrame, registry: DataFrame, source: str, symbol: str) -> Da
 
 
 def unpivot(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
-    """Wide to long: one row per key and remaining column."""
-    return df.unpivot([F.col(f"`{k}`") for k in keys], [F.col(f"`{c}`") for c in df.columns if c not in keys], label, value)
+    """Wide to long: one row per key and remaining column.
+
+    By explode, not DataFrame.unpivot: what follows can then share its subexpressions in generated code, which Spark
+    4.1 can't compile over the latter's Expand.
+    """
+    kept = [F.col(f"`{k}`") for k in keys]
+    each = [F.struct(F.lit(c).alias(label), F.col(f"`{c}`").alias(value)) for c in df.columns if c not in keys]
+    if not each:
+        return df.select(*kept, F.lit(None).cast("string").alias(label), F.lit(None).cast("string").alias(value)).where("false")
+    return df.select(*kept, F.explode(F.array(*each)).alias("__each")).select(*kept, f"__each.{label}", f"__each.{value}")
 
 
 def convert(value: Column, factor: Column, scale: Column) -> Column:
@@ -44,7 +52,7 @@ def convert_unit(value: Column, source_unit: str, extra_scale: float = 1.0) -> t
 
 
 def _ordered(df: DataFrame) -> DataFrame:
-    return df if ORDER in df.columns else df.withColumn(ORDER, F.struct(F.lit(0).alias("snapshot"), F.monotonically_increasing_id().alias("row")))
+    return df if ORDER in df.columns else df.withColumn(ORDER, arrival())
 
 
 def _stamped(df: DataFrame, contract: TableContract, source: str, snapshot_id: str, run_id: str, ingested_at: dt.datetime) -> DataFrame:

@@ -11,6 +11,8 @@ are listed. Severities and texts are decided here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ ERROR, WARNING = Severity.ERROR, Severity.WARNING
 #: Thresholds of the checks.
 SUSPICIOUS_GAP, MISSING_SHARE, IRREGULAR_SHARE, STALE_RUN, ZERO_VOLUME_SHARE = 5, 0.05, 0.05, 10, 0.10
 MIN_OVERLAP, BREACH_SHARE, UNIT_MISMATCH = 20, 0.10, 20.0
-EXAMPLES, SAMPLE_FAILURES, DETAILS = 5, 5, 1000
+EXAMPLES, SAMPLE_FAILURES, DETAILS, AT_ONCE = 5, 5, 1000, 8
 
 
 def offenders(df: DataFrame, key: str) -> tuple[int, list]:
@@ -314,6 +316,12 @@ def _pair(r, tolerance: float) -> Check:
 # Runners
 
 
+def side_by_side(parts: list[Callable[[], Any]]) -> list[Any]:
+    """Results of independent checks in their order; their jobs are small and share the cluster."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(lambda f: f(), parts))
+
+
 def validate_raw(df: DataFrame, *, source: str, dataset: str, run_id: str, settings: Settings | None = None, header: list[str] | None = None, contract: RawContract | None = None) -> Report:
     settings = settings or get_settings()
     columns = [c for c in df.columns if c != ORDER]
@@ -334,26 +342,35 @@ def validate_normalized(df: DataFrame, *, dataset: str, source: str, run_id: str
     ordered = df if ORDER in df.columns else df.withColumn(ORDER, F.monotonically_increasing_id())
     profile = scalar_profile(df, contract)
     report = Report(dataset, source, "normalized", run_id, profile["n"])
-    report.add(canonical_columns(columns, contract))
-    report.add(dtypes(df.select(*columns).schema, contract))
-    report.add(nullability(profile, contract, settings.missing_ratio_error))
-    report.add(unique_rows(df, "primary_key_unique", list(contract.primary_key)))
-    report.add(record_contract(ordered, profile, contract))
-    report.add(timestamp_timezone(df.schema))
-    report.add(unique_rows(df, "duplicate_timestamps", [entity, "date"]))
-    report.add(monotonic_timestamps(ordered, entity))
-    report.add(calendar_gaps(ordered, entity, frequency="frequency" if "frequency" in columns else None))
-    report.add(frequency_consistency(ordered, entity))
+    frequency = "frequency" if "frequency" in columns else None
+    parts: list[Callable[[], Check | list[Check]]] = [
+        lambda: canonical_columns(columns, contract),
+        lambda: dtypes(df.select(*columns).schema, contract),
+        lambda: nullability(profile, contract, settings.missing_ratio_error),
+        lambda: unique_rows(df, "primary_key_unique", list(contract.primary_key)),
+        lambda: record_contract(ordered, profile, contract),
+        lambda: timestamp_timezone(df.schema),
+        lambda: unique_rows(df, "duplicate_timestamps", [entity, "date"]),
+        lambda: monotonic_timestamps(ordered, entity),
+        lambda: calendar_gaps(ordered, entity, frequency=frequency),
+        lambda: frequency_consistency(ordered, entity),
+    ]
     if dataset != MACRO_DATA.name:
-        report.add(positive_prices(profile))
-        report.add(finite_values(profile))
-        report.add(ohlc_consistency(ordered, profile))
-        report.add(volume_sanity(profile))
-        report.add(extreme_returns(ordered, settings.extreme_return_threshold))
+        parts += [
+            lambda: positive_prices(profile),
+            lambda: finite_values(profile),
+            lambda: ohlc_consistency(ordered, profile),
+            lambda: volume_sanity(profile),
+            lambda: extreme_returns(ordered, settings.extreme_return_threshold),
+        ]
     else:
-        report.add(finite_values(profile))
-        report.add(value_missingness(df, entity, "value", settings.missing_ratio_error))
-        report.add(stale_values(ordered, entity, "value"))
+        parts += [
+            lambda: finite_values(profile),
+            lambda: value_missingness(df, entity, "value", settings.missing_ratio_error),
+            lambda: stale_values(ordered, entity, "value"),
+        ]
+    for found in side_by_side(parts):
+        report.add(found)
     for issue in report.issues:
         logger().warning("%s %s: %s", issue.severity.value, issue.name, issue.message)
     return report

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +13,7 @@ from ..operators.normalize import NORMALIZERS
 from ..settings import Run, Settings, get_settings, logger, utc_now
 from ..sources.connectors import DEFAULT_START, FetchRequest, connector_for, plan_for
 from ..sources.rawzone import ChecksumError, RawZone, Snapshot
-from .checks import validate_cross_source, validate_normalized, validate_raw
+from .checks import side_by_side, validate_cross_source, validate_normalized, validate_raw
 from .lake import Lake
 from .report import Report
 
@@ -56,6 +56,34 @@ def collect_live(zone: RawZone, run: Run, settings: Settings, sources, start: dt
     return out
 
 
+@dataclass
+class Judged:
+    """A snapshot's reports, and its canonical rows if there are any to load or to quarantine."""
+
+    snapshot: Snapshot
+    reports: list[Report]
+    rows: DataFrame | None = None
+
+
+def _judge(zone: RawZone, s: Snapshot, place: int, run: Run, settings: Settings, now: dt.datetime, kept: list[DataFrame]) -> Judged:
+    """Raw checks, normalization and normalized checks of one snapshot; persisted rows are added to kept."""
+    raw = zone.read(s, place)
+    out = Judged(s, [validate_raw(raw, source=s.source, dataset=s.dataset, run_id=run.run_id, settings=settings, header=zone.header(s))])
+    if out.reports[0].blocking or s.dataset not in NORMALIZERS:
+        return out
+    df = NORMALIZERS[s.dataset][0](raw, source=s.source, snapshot_id=s.snapshot_id, run_id=run.run_id, ingested_at=now)
+    if df is None:
+        return out
+    df = df.persist()  # read by four passes, the load and the comparison
+    kept.append(df)
+    if df.isEmpty():
+        logger().warning("%s has no usable rows", s.snapshot_id)
+        return out
+    out.reports.append(validate_normalized(df, dataset=s.dataset, source=s.source, run_id=run.run_id, settings=settings))
+    out.rows = df
+    return out
+
+
 def run_pipeline(spark: SparkSession, *, mode: str = "offline", sources: tuple[str, ...] | None = None, start: dt.date | None = None, end: dt.date | None = None, settings: Settings | None = None, warehouse: str | None = None, raw_dir: str | None = None) -> RunResult:
     """One run over all snapshots of a raw zone (offline) or of what the plan fetches now (live).
 
@@ -80,27 +108,13 @@ def run_pipeline(spark: SparkSession, *, mode: str = "offline", sources: tuple[s
     kept: list[DataFrame] = []
     now = utc_now()
     try:
-        for place, s in enumerate(snapshots):
-            raw = zone.read(s, place)
-            report = validate_raw(raw, source=s.source, dataset=s.dataset, run_id=run.run_id, settings=settings, header=zone.header(s))
-            result.reports.append(report)
-            if report.blocking or s.dataset not in NORMALIZERS:
-                continue
-            df = NORMALIZERS[s.dataset][0](raw, source=s.source, snapshot_id=s.snapshot_id, run_id=run.run_id, ingested_at=now)
-            if df is None:
-                continue
-            df = df.persist()  # read by four passes, the load and the comparison
-            kept.append(df)
-            if df.isEmpty():
-                logger().warning("%s has no usable rows", s.snapshot_id)
-                continue
-            report = validate_normalized(df, dataset=s.dataset, source=s.source, run_id=run.run_id, settings=settings)
-            result.reports.append(report)
-            if report.blocking:
-                lake.quarantine(s.dataset, s.source, run, df)
-                result.quarantined.append((s.dataset, s.source))
-            else:
-                good.setdefault(s.dataset, []).append(df)
+        for judged in side_by_side([partial(_judge, zone, s, place, run, settings, now, kept) for place, s in enumerate(snapshots)]):
+            result.reports += judged.reports
+            if judged.rows is not None and judged.reports[-1].blocking:
+                lake.quarantine(judged.snapshot.dataset, judged.snapshot.source, run, judged.rows)
+                result.quarantined.append((judged.snapshot.dataset, judged.snapshot.source))
+            elif judged.rows is not None:
+                good.setdefault(judged.snapshot.dataset, []).append(judged.rows)
         tables = {d: reduce(DataFrame.unionByName, parts) for d, parts in good.items()}
         if MACRO_DATA.name in tables:
             result.cross_source = validate_cross_source(tables[MACRO_DATA.name], run_id=run.run_id, settings=settings)

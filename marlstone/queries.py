@@ -20,7 +20,7 @@ from .operators import bars, dedup, normalize, pairs, series
 from .plans import checks
 from .plans.lake import Lake
 from .settings import Run, utc_now
-from .sources.rawzone import ORDER, RawZone
+from .sources.rawzone import ORDER, RawZone, arrival
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,8 +369,7 @@ def _loaded(spark: SparkSession, d: str) -> Lake:
     lake, rows, run = Lake(spark, shared_folder(spark)), _macro_rows(spark, d), Run.new("offline", {})
     lake.load_dataset("macro_data", rows, run)
     again = rows.where("source in ('r1', 'r3')")
-    order = lambda k: F.struct(F.lit(k).alias("snapshot"), F.monotonically_increasing_id().alias("row"))
-    twice = again.withColumn("value", F.col("value") + 100).withColumn(ORDER, order(0)).unionByName(again.withColumn(ORDER, order(1)))
+    twice = again.withColumn("value", F.col("value") + 100).withColumn(ORDER, arrival(0)).unionByName(again.withColumn(ORDER, arrival(1)))
     for _ in range(2):
         lake.load_dataset("macro_data", twice, run)
     return lake

@@ -7,21 +7,20 @@ the order, the lake's rows after them, and the first row per key stays. A repeat
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..contracts import get_contract
 from ..plans.lake import Lake
 from ..settings import Run
-from ..sources.rawzone import ORDER
+from ..sources.rawzone import ORDER, arrival
 
 
 def merge_batch(lake: Lake, dataset: str, batch: DataFrame, run: Run) -> int:
     contract = get_contract(dataset)
     touched = batch.select("source").distinct()
-    fresh = contract.project(batch).withColumn(ORDER, F.struct(F.lit(0).alias("snapshot"), F.monotonically_increasing_id().alias("row")))
+    fresh = contract.project(batch).withColumn(ORDER, arrival(0))
     held = lake.table(dataset).join(touched, "source", "left_semi").select(*contract.column_names)
-    held = held.withColumn(ORDER, F.struct(F.lit(1).alias("snapshot"), F.monotonically_increasing_id().alias("row")))
+    held = held.withColumn(ORDER, arrival(1))
     return lake.load_dataset(dataset, fresh.unionByName(held), run)
 
 
