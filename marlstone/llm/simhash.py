@@ -239,16 +239,38 @@ def _kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of key: pairs of a list that share two positional bytes of a half and pass INDEX_WITHIN."""
+    """Rows in order of key: of the pairs of a list that share two positional bytes of a half and pass INDEX_WITHIN,
+    each member's nearest one and those that a union-find needs to keep the list's near members connected.
+
+    That is two per member at most, however many near copies a list holds; other lists give a pair further chances.
+    """
 
     def pairs_of(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        rows, step, out = np.arange(max(0, len(key) - 1)), 1, []
-        while len(rows := rows[rows + step < len(key)]) and len(rows := rows[key[rows] == key[rows + step]]):
+        n = len(key)
+        root, mate, best = np.arange(n), np.arange(n), np.full(n, INDEX_BITS)
+        rows, step, forest = np.arange(max(0, n - 1)), 1, []
+        while len(rows := rows[rows + step < n]) and len(rows := rows[key[rows] == key[rows + step]]):
             far = np.bitwise_count((a[rows] ^ a[rows + step]).view(np.uint64)) + np.bitwise_count((b[rows] ^ b[rows + step]).view(np.uint64))
-            near = rows[far <= INDEX_WITHIN]
-            out.append(np.stack([near, near + step]))
+            near = np.flatnonzero(far <= INDEX_WITHIN)
+            for own, other in ((rows[near], rows[near] + step), (rows[near] + step, rows[near])):
+                closer = far[near] < best[own]
+                best[own[closer]], mate[own[closer]] = far[near][closer], other[closer]
+            apart = rows[near][root[rows[near]] != root[rows[near] + step]]
+            for i in apart.tolist():
+                x, y = i, i + step
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    forest.append((i, i + step))
+            while len(apart) and (root[root] != root).any():
+                root = root[root]
             step += 1
-        i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        own = np.flatnonzero(mate != np.arange(n))
+        both = np.concatenate([np.sort(np.stack([own, mate[own]], axis=1), axis=1), np.array(forest, np.int64).reshape(-1, 2)])
+        i, j = np.unique(both, axis=0).T
         return [a[i], b[i], a[j], b[j]]
 
     held = [np.zeros(0, np.int64)] * 3
