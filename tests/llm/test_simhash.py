@@ -127,3 +127,44 @@ def test_similar_first(docs):
     kept = sorted(str(r.doc_id) for r in out.collect())
     assert kept == sorted([str(d) for d, _ in rows[:36] if d not in gone] + ["500", "None"])
     assert simhash.similar_first(docs([])).count() == 0
+
+
+def exact_first(rows):
+    """Ids that stay: op3's components by all pairs of fingerprints, then all pairs of their first rows by five-word shingles."""
+    from .test_pipeline import shingle_print
+
+    prints, sets, root = [shingle_print(t) for _, t in rows], [], list(range(len(rows)))
+    for _, t in rows:
+        w = t.split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def join(among, alike):
+        for x, i in enumerate(among):
+            for j in among[:x]:
+                if find(i) != find(j) and alike(i, j):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+
+    join(range(len(rows)), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    join([i for i in range(len(rows)) if find(i) == i], lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
+
+
+def test_similar_first_in_a_crowd(docs):
+    """Hundreds of texts share one long passage at about 0.75; among them are pairs of 0.8 and more. None may be lost, none linked below."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    passage, rows = word(250), []
+    for g in range(300):
+        own = word(36)
+        rows.append((len(rows), " ".join(own + passage)))
+        if g % 3 == 0:
+            near = list(own)
+            near[17:] = word(19)
+            rows.append((len(rows), " ".join(near + passage)))
+    assert sorted(r.doc_id for r in simhash.similar_first(docs(rows)).collect()) == exact_first(rows)
