@@ -285,11 +285,14 @@ def cross_source_consistency(macro: DataFrame, tolerance_bp: float) -> list[Chec
         macro = macro.withColumn("unit", F.lit("unknown"))
     out = []
     mixed = pairs.mixed_units(macro)
-    for r in offenders(mixed, "indicator")[1]:
+    for r in mixed.orderBy("indicator").collect():  # each is an error of its own
         out.append(fail("cross_source_units", f"{r.indicator} comes in different units: {r.units}", ERROR, column=str(r.indicator), n_offending=len(r.units), units=list(r.units), sources=list(r.sources)))
     order = ORDER if ORDER in macro.columns else None
-    comparable = macro.join(F.broadcast(mixed.select("indicator").limit(DETAILS)), "indicator", "left_anti") if out else macro
-    compared = pairs.source_pairs(comparable, tolerance_bp, order=order).orderBy("indicator", "left", "right").limit(DETAILS).collect()
+    comparable = macro.join(mixed.select("indicator"), "indicator", "left_anti") if out else macro
+    compared, by = pairs.source_pairs(comparable, tolerance_bp, order=order), ["indicator", "left", "right"]
+    failing = F.coalesce((F.col("overlap") >= MIN_OVERLAP) & ((F.col("median_abs_diff_bp") > tolerance_bp) | (F.col("breach_share") > BREACH_SHARE)), F.lit(False))
+    compared = compared.where(failing).collect() + compared.where(~failing).orderBy(*by).limit(DETAILS).collect()  # of pairs that pass, the first are listed
+    compared.sort(key=lambda r: tuple(str(r[c]) for c in by))
     out += [_pair(r, tolerance_bp) for r in compared]
     if not compared:
         out.append(ok("cross_source_consistency", "no indicator has two sources to compare"))

@@ -226,3 +226,23 @@ def test_a_report_does_not_depend_on_partitioning(spark):
     df = macro(spark, [(d, f"I{i % 3}", "s", float(i % 7), "percent", "B") for i, d in enumerate(days)])
     rows = [sorted((r.name, r.passed, str(r.details)) for r in checks.validate_normalized(x, dataset="macro_data", source="s", run_id="r").results) for x in (df, df.repartition(5))]
     assert rows[0] == rows[1] and len(rows[0]) == 13
+
+
+def test_cross_source_judges_every_pair_and_unit(spark):
+    """Errors after the thousandth indicator by name are reported, and all mixed units leave the comparison."""
+    from pyspark.sql import functions as F
+
+    from marlstone.plans import checks
+
+    n = checks.DETAILS + 3
+    base = spark.range(n * 40).select((F.col("id") % n).alias("k"), F.floor(F.col("id") / n).cast("int").alias("d"))
+    side = F.when(F.col("d") % 2 == 0, "left").otherwise("right")
+    wrong = F.when((F.col("k") == n - 1) & (side == "right"), 50.0).otherwise(1.0)
+    date = F.date_add(F.lit("2020-01-01").cast("date"), F.floor(F.col("d") / 2).cast("int"))
+    good = base.select(F.format_string("p%05d", "k").alias("indicator"), date.alias("date"), wrong.alias("value"), side.alias("source"), F.lit("percent").alias("unit"))
+    mixed = base.where("d < 2").select(F.format_string("m%05d", "k").alias("indicator"), date.alias("date"), F.lit(1.0).alias("value"), side.alias("source"), side.alias("unit"))
+    found = checks.cross_source_consistency(good.union(mixed), 5.0)
+    assert sum(c.name == "cross_source_units" for c in found) == n
+    compared = [c for c in found if c.name == "cross_source_consistency"]
+    assert len(compared) == checks.DETAILS + 1
+    assert compared[-1].severity == checks.ERROR and compared[-1].column == f"p{n - 1:05d}"
