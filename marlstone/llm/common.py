@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: space and U+0009 to U+000D.
@@ -17,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is unset (local tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that setting is unset on a local master (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.getCheckpointDir() is None and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
     return named or sc.getCheckpointDir()
@@ -32,7 +36,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder; that part goes when the driver ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/marlstone-{spark.sparkContext.applicationId}"
+    fs, path = _at(spark, folder)
+    fs.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder, for what is read several times and holds texts."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of (letter case does not tell columns apart)."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for i in itertools.count() if (x := f"__{n}{i or ''}") not in taken) for n in names]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +76,34 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: The place of a null id in the order of ids.
+LAST = 2**63 - 1
+
+
+def row_id() -> Column:
+    return F.coalesce(F.col("`doc_id`").cast("long"), F.lit(LAST))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.col("`text`"))
+
+
+def kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs with these ids (null as LAST) and text hashes, one of each. Texts move once, in this join."""
+    own_id, own_hash, place = free_names(docs, "id", "hash", "place")
+    keyed = docs.select("*", row_id().alias(own_id), text_hash().alias(own_hash))
+    numbered = keyed.join(stay.select(F.col("id").alias(own_id), F.col("hash").alias(own_hash)), [own_id, own_hash])
+    numbered = numbered.withColumn(place, F.row_number().over(Window.partitionBy(own_id, own_hash).orderBy(own_id)))
+    return numbered.where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about `most` bytes of the column, one row at least: bounds a worker's memory."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about `most` bytes of the column and at most `rows` rows, one row at least: bounds a worker's memory."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -59,6 +112,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         ends, at = np.cumsum(n), 0
         while at < len(n):
             start = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, start + most, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, start + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to

@@ -13,19 +13,6 @@ thousand) is never compared in one task: two words at distance 4 or less have a
 both, so its members are dealt by all words within 2 flips of the 40 bits they don't share, and each such word links
 its members to the smallest one: linear, exact and pre-aggregated.
 
-Similar documents (`similar_first`, the pipeline's stage): beyond the classes above, documents whose sets of distinct
-five-word shingles have a Jaccard similarity of 0.8 or more, exactly up to collisions of 64-bit shingle hashes. One
-representative of each class, the row that would stay, is compared:
-
-1. Prefix index. All shingles have one order. Sets at similarity 0.8 share 0.8 of the larger one at least, so the first
-   n - ceil(0.8 n) + 1 shingles of each have one in common, and every such pair meets in a list. Any order is right;
-   shingles that are common in a sample come last, so that a passage many documents share makes no long list.
-2. Candidates. In a list a pair goes only if it provably is below 0.8: by the sizes, or by the parities of the shingle
-   counts in 512 buckets, which differ in no more buckets than the sets differ in shingles. The rest is a forest, one
-   row per member at most; it is not a result, its trees only say which sets have to meet.
-3. Comparison. The sets of a tree meet once and all pairs not yet linked are compared shingle by shingle; the verified
-   links are again a forest. A tree above BLOCK sets is dealt over the pairs of its blocks, so that no task has it all.
-
 Defined cases: null text, or text without words, has fingerprint zero and is linked like any other. A null doc_id never
 names a component unless all of its members are null. Repeated rows each keep a row. An empty table gives no rows.
 """
@@ -37,15 +24,13 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, pick, slices
+from .common import LAST, as_bytes, cut, kept_rows, pick, slices
 from .components import components
 
 WORDS, SEED, WITHIN, LIST_LIMIT = 4, 42, 4, 16384
-#: The place of a null id in the order of ids.
-LAST = 2**63 - 1
 
 
 def triples() -> list[tuple[int, int, int]]:
@@ -79,53 +64,6 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-#: The words of a shingle and the similarity from which documents are linked (three decimals count).
-WIDE_WORDS, SIMILAR = 5, 0.8
-#: Buckets of the parity sketch; sets of a tree in one block; documents sampled and shingles listed for the order (any order is right).
-SKETCH_BITS, BLOCK, ORDER_SAMPLE, ORDER_LIST = 512, 256, 8192, 65536
-#: Bits of the wide fingerprint, an estimate of the similarity; the stage compares the sets themselves.
-WIDE_BITS = 512
-_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (2**64 - 1) | 1 for i in range(WIDE_BITS // 64)], np.uint64)
-
-
-def shingles(text: bytes, words: int = WIDE_WORDS) -> np.ndarray:
-    """The hashes of the distinct shingles of one text, in order; a shorter text is one shingle, no words are none."""
-    import xxhash
-
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    starts = [0, *accumulate(len(p) + 1 for p in parts)]
-    h, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = [h(view[s : e - 1], SEED) for s, e in zip(starts, starts[words:], strict=False)] if len(parts) > words else [h(joined, SEED)]
-    return np.unique(np.array(hashes, np.uint64))
-
-
-def wide_fingerprint(text: bytes, words: int = WIDE_WORDS) -> tuple[bytes, int]:
-    """WIDE_BITS over the distinct shingles of one text, and their number; no words: all zero, 0."""
-    own = shingles(text, words)
-    if not len(own):
-        return bytes(WIDE_BITS // 8), 0
-    ones = np.zeros(WIDE_BITS, np.int64)
-    for at in range(0, len(own), 1 << 13):
-        mixed = own[at : at + (1 << 13), None] * _MULTIPLIERS[None, :]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(29)
-        ones += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(own), bitorder="little").tobytes(), len(own)
-
-
-def similarity(differing: np.ndarray, n1: np.ndarray, n2: np.ndarray, bits: int = WIDE_BITS) -> np.ndarray:
-    """The Jaccard similarity of sets of n1 and n2 shingles whose fingerprints differ in so many bits.
-
-    Bits give the angle, its cosine times the geometric mean of the sizes is the number of shared shingles.
-    """
-    shared = np.minimum(np.cos(np.pi * np.minimum(differing, bits / 2) / bits) * np.sqrt(n1 * n2), np.minimum(n1, n2))
-    return np.where((n1 == 0) & (n2 == 0), 1.0, shared / np.maximum(n1 + n2 - shared, 1e-9))
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, a hash of the text, and the fingerprint of every row."""
 
@@ -232,197 +170,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one row left of each component: the smallest doc_id (null last; then by text hash).
-
-    Texts move once, in the join by id; of rows that are equal in id and text one stays.
-    """
-    return _kept_rows(docs, _first_of_each(classes(docs, **how)).select("__id", "__hash"))
-
-
-def _first_of_each(found: DataFrame) -> DataFrame:
-    """root, and the id and text hash of the row of its class that stays."""
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("text_hash").alias("__hash"))).alias("m")
-    return found.groupBy("root").agg(least).select("root", "m.*")
-
-
-def _kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
-    """The rows of docs with these ids and text hashes, one of each."""
-    keyed = docs.select("*", F.coalesce(F.col("`doc_id`").cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(F.col("`text`")).alias("__hash"))
-    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
-    return keyed.join(stay, ["__id", "__hash"]).withColumn("__place", place).where("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _find(root: np.ndarray, i: int) -> int:
-    while root[i] != i:
-        i = root[i]
-    return i
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their first columns, as batches that hold every run of equal keys as a whole."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-        last = np.ones(held.num_rows, bool)
-        for c in range(keys):
-            own = held.column(c).to_numpy()
-            last &= own == own[-1]
-        n = held.num_rows - int(last.sum())
-        if n:
-            yield held.slice(0, n).combine_chunks().to_batches()[0]
-            held = held.slice(n)
-    if held is not None:
-        yield held.combine_chunks().to_batches()[0]
-
-
-def _candidate_forest(batches: Iterator[pa.RecordBatch], mille: int) -> Iterator[pa.RecordBatch]:
-    """(token, root, n, sketch) in order of token: per list a forest that connects all pairs not provably below mille."""
-    for x in _runs(batches, 1):
-        key, node, size = (x.column(c).to_numpy() for c in range(3))
-        sketch = np.frombuffer(b"".join(x.column(3).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
-        root, forest = np.arange(len(key)), []
-        rows, step = np.arange(len(key) - 1), 1
-        while len(rows := rows[rows + step < len(key)]) and len(rows := rows[key[rows] == key[rows + step]]):
-            open_ = rows[root[rows] != root[rows + step]]
-            n1, n2 = size[open_], size[open_ + step]
-            open_ = open_[1000 * np.minimum(n1, n2) >= mille * np.maximum(n1, n2)]
-            for at in range(0, len(open_), 1 << 16):
-                i = open_[at : at + (1 << 16)]
-                differ = np.bitwise_count(sketch[i] ^ sketch[i + step]).sum(axis=1, dtype=np.int64)
-                for i in i[differ * (1000 + mille) <= (size[i] + size[i + step]) * (1000 - mille)].tolist():
-                    p, q = _find(root, i), _find(root, i + step)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        forest.append((i, i + step))
-            while (root[root] != root).any():
-                root = root[root]
-            step += 1
-        i, j = np.array(forest, np.int64).reshape(-1, 2).T
-        yield pa.record_batch([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
-
-
-def set_links(sets: list[np.ndarray], block: np.ndarray, cross: bool, mille: int) -> list[tuple[int, int]]:
-    """A forest over sets of distinct hashes that connects exactly the pairs of similarity mille / 1000 and more (of different blocks only, if cross)."""
-    size = np.array([len(s) for s in sets])
-    offset = np.concatenate([[0], np.cumsum(size)])
-    names, place = np.unique(np.concatenate(sets), return_inverse=True)
-    root, mark, forest = np.arange(len(sets)), np.zeros(len(names), bool), []
-    for i in range(len(sets) - 1):
-        rest = np.arange(i + 1, len(sets))
-        open_ = (root[rest] != root[i]) & (1000 * np.minimum(size[rest], size[i]) >= mille * np.maximum(size[rest], size[i]))
-        if cross:
-            open_ &= block[rest] != block[i]
-        if not open_.any():
-            continue
-        own = place[offset[i] : offset[i + 1]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[place[offset[i + 1] :]], offset[i + 1 : -1] - offset[i + 1], dtype=np.int64)
-        mark[own] = False
-        for j in rest[open_ & (1000 * shared >= mille * (size[rest] + size[i] - shared))].tolist():
-            p, q = _find(root, i), _find(root, j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                forest.append((i, j))
-        while (root[root] != root).any():
-            root = root[root]
-    return forest
-
-
-def _verified_forest(batches: Iterator[pa.RecordBatch], mille: int) -> Iterator[pa.RecordBatch]:
-    """(tree, x, y, block, root, tokens) in order of tree, x, y: the verified links of every cell."""
-    for batch in _runs(batches, 3):
-        tree, x, y, block, node = (batch.column(c).to_numpy() for c in range(5))
-        first = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-        a, b = [], []
-        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(tree)], strict=True):
-            sets = [np.frombuffer(t, np.uint64) for t in batch.column(5).slice(s, e - s).to_pylist()]
-            for i, j in set_links(sets, block[s:e], bool(x[s] != y[s]), mille):
-                a.append(node[s + i])
-                b.append(node[s + j])
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("`doc_id`").cast("long"), F.lit(LAST)).alias("__id"), F.xxhash64(F.col("`text`")).alias("__hash"), F.col("`text`").alias("text"))
-
-
-def _common(docs: DataFrame, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, in order, and how many; they come last in the order of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            for t in as_bytes(b.column(0)):
-                yield pa.record_batch([pa.array(shingles(t).view(np.int64))], names=["token"])
-
-    share = max(1, n_classes // ORDER_SAMPLE)
-    sampled = _keyed(docs).where(F.pmod(F.xxhash64("__hash"), F.lit(share)) == 0).dropDuplicates(["__hash"]).select("text")
-    counts = sampled.mapInArrow(run, "token long").groupBy("token").count().where("count > 1")
-    top = counts.orderBy(F.desc("count"), "token").limit(ORDER_LIST).toPandas()
-    token, count = top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
-    order = np.argsort(token)
-    return token[order], count[order]
-
-
-def prefix(own: np.ndarray, common: np.ndarray, count: np.ndarray, mille: int) -> np.ndarray:
-    """The first n - ceil(mille / 1000 * n) + 1 shingles in the order of (count in the sample, hash)."""
-    if not len(own):
-        return own
-    known = np.zeros(len(own), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        known = np.where(common[at] == own, count[at], 0)
-    return own[np.lexsort((own, known))][: len(own) - (-(-mille * len(own) // 1000)) + 1]
-
-
-def similar_links(docs: DataFrame, first: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Edges (a, b) between roots of first that connect exactly the representatives whose similarity is `least` or more."""
-    mille = round(1000 * least)
-    common, count = _common(docs, first.count())
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingles(t) for t in as_bytes(b.column(2))]
-            parity = [np.packbits(np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1, bitorder="little").tobytes() for s in sets]
-            tokens = [prefix(s, common, count, mille).tobytes() for s in sets]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(parity, pa.binary()), pa.array(tokens, pa.binary())], names=["__id", "__hash", "n", "sketch", "tokens"])
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "tokens"):
-            tokens = b.column(1).to_pylist()
-            token = np.frombuffer(b"".join(tokens), np.int64)
-            yield pa.record_batch([pa.array(token), pa.array(np.repeat(b.column(0).to_numpy(), [len(t) // 8 for t in tokens]))], names=["token", "root"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches, 1):
-            token = b.column(0).to_numpy()
-            same = token[1:] == token[:-1]
-            yield b.filter(pa.array(np.concatenate([[False], same]) | np.concatenate([same, [False]])))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.record_batch([b.column(0), pa.array([shingles(t).tobytes() for t in as_bytes(b.column(1))], pa.binary())], names=["root", "tokens"])
-
-    keyed = _keyed(docs)
-    reps = keyed.mapInArrow(sketch, "__id long, __hash long, n long, sketch binary, tokens binary").join(first, ["__id", "__hash"])
-    reps = cut(reps.select("root", "n", "sketch", "tokens").dropDuplicates(["root"]))
-    lists = reps.select("root", "tokens").mapInArrow(index, "token long, root long").repartition("token").sortWithinPartitions("token").mapInArrow(shared, "token long, root long")
-    members = lists.join(reps.select("root", "n", "sketch"), "root").select("token", "root", "n", "sketch")
-    forest = members.repartition("token").sortWithinPartitions("token", "root").mapInArrow(lambda x: _candidate_forest(x, mille), "a long, b long")
-    trees = cut(components(forest).select(F.col("node").alias("root"), F.col("root").alias("tree")))
-    blocks = trees.groupBy("tree").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = trees.join(blocks, "tree").withColumn("block", F.pmod(F.xxhash64("root"), F.col("blocks")))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("root", "tree", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    texts = keyed.join(first.join(trees.select("root"), "root"), ["__id", "__hash"]).select("root", "text")
-    full = texts.mapInArrow(sets, "root long, tokens binary").dropDuplicates(["root"]).join(cells, "root").select("tree", "x", "y", "block", "root", "tokens")
-    return full.repartition("tree", "x", "y").sortWithinPartitions("tree", "x", "y", "root").mapInArrow(lambda x: _verified_forest(x, mille), "a long, b long")
-
-
-def similar_first(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """One row of each group of classes that are similar to each other; which one, and repeated rows, as in keep_first."""
-    first = cut(_first_of_each(classes(docs)))
-    merged = components(similar_links(docs, first, least)).select(F.col("node").alias("root"), F.col("root").alias("group"))
-    grouped = first.join(merged, "root", "left").withColumn("group", F.coalesce("group", "root"))
-    stay = grouped.groupBy("group").agg(F.min(F.struct("__id", "__hash")).alias("m")).select("m.*")
-    return _kept_rows(docs, stay)
+    """The documents with one row left of each component: the smallest doc_id (null last; then by text hash); of rows
+    that are equal in id and text one stays."""
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text_hash").alias("hash"))).alias("m")
+    return kept_rows(docs, classes(docs, **how).groupBy("root").agg(least).select("m.id", "m.hash"))

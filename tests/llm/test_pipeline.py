@@ -2,49 +2,14 @@ import re
 from collections import Counter
 
 import numpy as np
-import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marlstone.llm import langid, packing, simhash
+from marlstone.llm import langid, packing
 from marlstone.llm.common import documents
 
 from .test_mixing import share
-
-
-def shingle_print(text, words=4):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not w:
-        return 0
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + words]).encode(), 42) for i in range(max(1, len(w) - words + 1))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def first_of_each(rows):
-    prints, root = [shingle_print(t) for _, t, _ in rows], list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    reps = [i for i in range(len(rows)) if find(i) == i]
-    wide = {i: simhash.wide_fingerprint((rows[i][1] or "").encode()) for i in reps}
-    for x, i in enumerate(reps):
-        for j in reps[:x]:
-            a, b = (np.frombuffer(wide[k][0], np.uint64) for k in (i, j))
-            tally = (np.frombuffer(wide[i][0][:16], np.uint8) == np.frombuffer(wide[j][0][:16], np.uint8)).reshape(2, 8).sum(axis=1)
-            if tally.max() < 2 or np.bitwise_count(a[:2] ^ b[:2]).sum() > 34:
-                continue
-            if simhash.similarity(np.bitwise_count(a ^ b).sum(), np.array(wide[i][1]), np.array(wide[j][1])) >= 0.77:
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-    return [r for i, r in enumerate(rows) if find(i) == i]
+from .test_similar import first_of_each
 
 
 def without(rows, length=100):
@@ -66,7 +31,8 @@ def test_stages_against_brute_force(spark, sample, tmp_path):
     model = langid.fit(langid.training_sample(docs))
     keep = {r.doc_id for r in langid.predict(docs, model).where("not rejected").collect()}
     want = [[r for r in rows if r[0] in keep]]
-    want.append(first_of_each(want[-1]))
+    stay = set(first_of_each(want[-1]))
+    want.append([r for r in want[-1] if str(r[0]) in stay])
     want.append(without(want[-1]))
     now = docs
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):

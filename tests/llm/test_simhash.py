@@ -85,86 +85,3 @@ def test_empty_and_keep_first(docs):
     out = simhash.keep_first(df)
     assert out.columns == df.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "None"]
-
-
-def test_estimated_similarity():
-    rng = np.random.default_rng(8)
-    errors = []
-    for share in (0.0, 0.5, 0.8, 0.95, 1.0):
-        for _ in range(8):
-            words = [f"w{i}" for i in rng.integers(0, 10**9, 600)]
-            other = list(words)
-            for i in rng.choice(600, int(600 * (1 - share) / 8), replace=False):
-                other[i] = f"x{i}"
-            (a, n), (b, m) = (simhash.wide_fingerprint(" ".join(x).encode()) for x in (words, other))
-            sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other)]
-            true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-            differing = np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum()
-            errors.append(float(simhash.similarity(differing, np.array(n), np.array(m))) - true)
-    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
-    assert simhash.wide_fingerprint(b"") == (bytes(64), 0) and simhash.wide_fingerprint(b"A b") == simhash.wide_fingerprint(b"a  B")
-    assert float(simhash.similarity(np.array(0), np.array(0), np.array(0))) == 1.0
-
-
-def test_similar_first(docs):
-    """Near copies of similarity 0.85 go though they are over 4 bits apart; half alike, and other texts, stay."""
-    rng = np.random.default_rng(4)
-    rows, gone = [], set()
-    for g in range(12):
-        words = [f"w{i}" for i in rng.integers(0, 10**9, 300)]
-        rows.append((10 * g, " ".join(words)))
-        near, half = list(words), list(words)
-        for i in rng.choice(range(0, 300, 10), 5, replace=False):
-            near[i] = "changed"
-        for i in range(0, 300, 8):
-            half[i] = f"h{i}"
-        rows += [(10 * g + 1, " ".join(near)), (10 * g + 2, " ".join(half))]
-        gone.add(10 * g + 1)
-    rows += [(500, None), (501, ""), (None, rows[0][1]), (None, "alone in the world"), (502, rows[3][1]), (502, rows[3][1])]
-    df = docs(rows)
-    out = simhash.similar_first(df)
-    assert out.columns == df.columns
-    kept = sorted(str(r.doc_id) for r in out.collect())
-    assert kept == sorted([str(d) for d, _ in rows[:36] if d not in gone] + ["500", "None"])
-    assert simhash.similar_first(docs([])).count() == 0
-
-
-def exact_first(rows):
-    """Ids that stay: op3's components by all pairs of fingerprints, then all pairs of their first rows by five-word shingles."""
-    from .test_pipeline import shingle_print
-
-    prints, sets, root = [shingle_print(t) for _, t in rows], [], list(range(len(rows)))
-    for _, t in rows:
-        w = t.split()
-        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    def join(among, alike):
-        for x, i in enumerate(among):
-            for j in among[:x]:
-                if find(i) != find(j) and alike(i, j):
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-
-    join(range(len(rows)), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
-    join([i for i in range(len(rows)) if find(i) == i], lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
-    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
-
-
-def test_similar_first_in_a_crowd(docs):
-    """Hundreds of texts share one long passage at about 0.75; among them are pairs of 0.8 and more. None may be lost, none linked below."""
-    rng = np.random.default_rng(11)
-    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
-    passage, rows = word(250), []
-    for g in range(300):
-        own = word(36)
-        rows.append((len(rows), " ".join(own + passage)))
-        if g % 3 == 0:
-            near = list(own)
-            near[17:] = word(19)
-            rows.append((len(rows), " ".join(near + passage)))
-    assert sorted(r.doc_id for r in simhash.similar_first(docs(rows)).collect()) == exact_first(rows)
