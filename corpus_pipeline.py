@@ -3,14 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Its
 result is written as Parquet in the shared folder and read again as the next stage's docs, so a lost executor costs at
 most the stage at hand. Every stage works on all rows that its predecessor kept.
+
+Defined cases: null and empty texts have no language and go in the first stage; given to a later stage they are one
+group of near-duplicates, have no repeats, size 0 in the mix (so are not taken), and one end token each in a sequence.
+Of near-duplicates the smallest doc_id stays (null last; ties by a hash of the text), and repeated rows, equal in id
+and text, are one. An empty table gives empty results. Columns of other names are carried along to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import langid, mixing, packing, repeats, simhash
-from marlstone.llm.common import documents, fresh_path
+from marlstone.llm import langid, mixing, packing, repeats, similar
+from marlstone.llm.common import documents, fresh_path, remove
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: op3's components, and texts whose five-word shingles are 0.8 or more alike."""
-    return simhash.similar_first(docs)
+    """One row of each near-duplicate group: candidates of op3's index and of bands, linked if their sets of five-word
+    shingles are 0.8 or more alike, compared shingle by shingle."""
+    return similar.one_of_each(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:  # nothing reads the stage before the last any more
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
