@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from .contracts import ENTITY, get_contract
 from .operators.bars import panel
+from .plans.findings import SPELLED, totals
 from .plans.lake import Lake
-from .registries import INSTRUMENTS
+from .registries import declared
 from .settings import get_settings
 
-SEVERITY_RANK = {"ERROR": 2, "WARNING": 1, "INFO": 0}
-
 
 def lake(spark: SparkSession, warehouse: str | None = None) -> Lake:
     opened = Lake(spark, warehouse or get_settings().warehouse_dir)
@@ -51,7 +50,7 @@ def query(spark: SparkSession, sql: str, params: list | dict | None = None, *, w
 
 def price_panel(own: Lake) -> DataFrame:
     """Closing prices, one column per instrument."""
-    return panel(own.table("market_prices"), "date", "ticker", "close", list(INSTRUMENTS)).orderBy("date")
+    return panel(own.table("market_prices"), "date", "ticker", "close", list(dict.fromkeys(d.entity for d in declared(dataset="market_prices")))).orderBy("date")
 
 
 def us10y_cross_source(own: Lake) -> DataFrame:
@@ -62,10 +61,7 @@ def us10y_cross_source(own: Lake) -> DataFrame:
 
 def summarize_checks(results: DataFrame) -> DataFrame:
     """Checks, passed, errors and warnings per run, dataset, source and stage, newest run first."""
-    failed = ~F.col("passed")
-    return results.groupBy("run_id", "dataset", "source", "stage").agg(
-        F.count("*").alias("checks"), F.count_if("passed").alias("passed"), F.count_if(failed & (F.col("severity") == "ERROR")).alias("errors"), F.count_if(failed & (F.col("severity") == "WARNING")).alias("warnings")
-    ).orderBy(F.desc("run_id"), "dataset", "source")
+    return totals(results, "run_id", "dataset", "source", "stage").orderBy(F.desc("run_id"), "dataset", "source")
 
 
 NAMED: dict[str, Callable[[Lake], DataFrame]] = {
@@ -98,7 +94,7 @@ def validation_report(spark: SparkSession, run_id: str | None = None, *, dataset
     for column, wanted in (("run_id", run_id), ("dataset", dataset), ("source", source)):
         if wanted:
             rows = rows.where(F.col(column) == wanted)
-    rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(r)) for s, r in SEVERITY_RANK.items()]) if worst_first else F.col("severity")
+    rank = F.array_position(F.array(*map(F.lit, SPELLED)), F.col("severity")) if worst_first else F.col("severity")
     return rows.orderBy("run_id", "stage", rank.desc(), "check_name")
 
 

@@ -10,21 +10,29 @@ from pyspark.sql import functions as F
 
 from ..contracts import CURVE_DATE, MACRO_DATA, MARKET_PRICES, TableContract
 from ..functions import date_from_text, number_from_text, trimmed
-from ..registries import canonical_unit, series_table, ticker_table
+from ..registries import conversion, registry
 from ..settings import logger, utc_now
 from ..sources.rawzone import ORDER, RawZone, Snapshot, arrival
 
 
-def mapped(df: DataFrame, registry: DataFrame, source: str, symbol: str) -> DataFrame:
-    """Rows joined with their registry entry (left: unmapped rows have NULLs). Registries are about thirty rows."""
-    own = registry.where(F.col("source") == source).drop("source").withColumnRenamed("symbol", "__symbol")
-    return df.withColumn("__symbol", trimmed(F.col(f"`{symbol}`"))).join(F.broadcast(own), "__symbol", "left").drop("__symbol")
+#: A table of symbols up to this many rows is broadcast; a larger one is joined as Spark plans it.
+BROADCAST_ROWS = 10_000
 
 
-def unmapped(df: DataFrame, registry: DataFrame, source: str, symbol: str) -> DataFrame:
-    """The rows without a registry entry."""
-    own = registry.where(F.col("source") == source).select(F.col("symbol").alias("__symbol"))
-    return df.withColumn("__symbol", trimmed(F.col(f"`{symbol}`"))).join(F.broadcast(own), "__symbol", "left_anti").drop("__symbol")
+def _of_source(known: DataFrame, source: str) -> DataFrame:
+    """A source's symbols, broadcast only if their number, which is counted, allows it."""
+    own = known.where(F.col("source") == source).drop("source").withColumnRenamed("symbol", "__symbol")
+    return F.broadcast(own) if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else own
+
+
+def mapped(df: DataFrame, known: DataFrame, source: str, symbol: str) -> DataFrame:
+    """Rows joined with their row of a table of symbols (left: unmapped rows have NULLs)."""
+    return df.withColumn("__symbol", trimmed(F.col(f"`{symbol}`"))).join(_of_source(known, source), "__symbol", "left").drop("__symbol")
+
+
+def unmapped(df: DataFrame, known: DataFrame, source: str, symbol: str) -> DataFrame:
+    """The rows whose symbol is not in a table of symbols."""
+    return df.withColumn("__symbol", trimmed(F.col(f"`{symbol}`"))).join(_of_source(known, source), "__symbol", "left_anti").drop("__symbol")
 
 
 def unpivot(df: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
@@ -46,8 +54,8 @@ def convert(value: Column, factor: Column, scale: Column) -> Column:
 
 
 def convert_unit(value: Column, source_unit: str, extra_scale: float = 1.0) -> tuple[Column, str]:
-    """The value in the canonical unit of a declared source unit, and that unit; UnknownUnitError for any other."""
-    unit, factor = canonical_unit(source_unit)
+    """The value in the canonical unit of a declared source unit, and that unit; UndeclaredUnit for any other."""
+    unit, factor = conversion(source_unit)
     return convert(value, F.lit(factor), F.lit(extra_scale)), unit
 
 
@@ -65,7 +73,8 @@ def market(raw: DataFrame, *, source: str, snapshot_id: str, run_id: str, ingest
     if not {"date", "ticker"} <= set(raw.columns):
         logger().warning("%s has no date or ticker column", snapshot_id)
         return None
-    joined = mapped(_ordered(raw).withColumnRenamed("ticker", "__raw"), ticker_table(raw.sparkSession), source, "__raw").where("ticker is not null")
+    known = registry(raw.sparkSession, MARKET_PRICES.name).select("source", "symbol", F.col("entity").alias("ticker"), "currency")
+    joined = mapped(_ordered(raw).withColumnRenamed("ticker", "__raw"), known, source, "__raw").where("ticker is not null")
     prices = {c: number_from_text(F.col(c)) if c in raw.columns else F.lit(None).cast("double") for c in ("open", "high", "low", "close", "adj_close", "volume")}
     return _stamped(joined.withColumns({"date": date_from_text(F.col("date")), **prices}), MARKET_PRICES, source, snapshot_id, run_id, ingested_at)
 
@@ -84,7 +93,8 @@ def macro(raw: DataFrame, *, source: str, snapshot_id: str, run_id: str, ingeste
         return None
     date, symbol, value = shape
     long = raw.select(date_from_text(F.col(f"`{date}`")).alias("date"), F.col(symbol).alias("symbol"), F.col(value).alias("text"), ORDER).where("date is not null")
-    joined = mapped(long, series_table(raw.sparkSession), source, "symbol").where("indicator is not null")
+    known = registry(raw.sparkSession, MACRO_DATA.name).select("source", "symbol", F.col("entity").alias("indicator"), "unit", "factor", "scale", "frequency")
+    joined = mapped(long, known, source, "symbol").where("indicator is not null")
     return _stamped(joined.withColumn("value", convert(number_from_text(F.col("text")), F.col("factor"), F.col("scale"))), MACRO_DATA, source, snapshot_id, run_id, ingested_at)
 
 

@@ -38,6 +38,14 @@ def source_pairs(df: DataFrame, tolerance_bp: float, *, entity: str = "indicator
     return pairs.join(stats, [entity, "left", "right"], "left").join(units, entity, "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
 
 
+def verdicts(compared: DataFrame, tolerance_bp: float, least_overlap: int, most_breaches: float, mismatch: float) -> DataFrame:
+    """source_pairs with a level: 2 if the median is `mismatch` tolerances and more apart, 1 if the median or the share
+    of breaches is above what is allowed, else 0; a pair with fewer shared dates than `least_overlap` is 0."""
+    median, enough = F.col("median_abs_diff_bp"), F.col("overlap") >= least_overlap
+    level = F.when(enough & (median > tolerance_bp * mismatch), 2).when(enough & ((median > tolerance_bp) | (F.col("breach_share") > most_breaches)), 1).otherwise(0)
+    return compared.withColumn("level", level)
+
+
 def coverage_summary(df: DataFrame, entity: str = "indicator", source: str = "source", value: str = "value", date: str = "date") -> DataFrame:
     """Per entity and source: n_observations, n_missing, first_date, last_date."""
     return df.groupBy(entity, source).agg(F.count("*").alias("n_observations"), F.count_if(F.col(value).isNull()).alias("n_missing"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))

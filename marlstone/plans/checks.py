@@ -25,9 +25,8 @@ from ..operators import bars, pairs, series
 from ..operators.dedup import duplicate_keys
 from ..settings import Settings, get_settings, logger
 from ..sources.rawzone import ORDER
-from .report import Check, Report, Severity, fail, ok
+from .findings import BROKEN, HOLDS, SPELLED, SUSPECT, Checked, Finding, Subject, finding
 
-ERROR, WARNING = Severity.ERROR, Severity.WARNING
 #: Thresholds of the checks.
 SUSPICIOUS_GAP, MISSING_SHARE, IRREGULAR_SHARE, STALE_RUN, ZERO_VOLUME_SHARE = 5, 0.05, 0.05, 10, 0.10
 MIN_OVERLAP, BREACH_SHARE, UNIT_MISMATCH = 20, 0.10, 20.0
@@ -49,40 +48,40 @@ def examples(df: DataFrame, columns: list[str], order: str = ORDER) -> list[dict
 # Raw stage
 
 
-def payload_not_empty(n: int) -> Check:
-    return ok("payload_not_empty", f"the source sent {n} rows") if n else fail("payload_not_empty", "the source sent no rows", ERROR)
+def payload_not_empty(n: int) -> Finding:
+    return finding("payload_not_empty", HOLDS, f"the source sent {n} rows") if n else finding("payload_not_empty", BROKEN, "the source sent no rows")
 
 
-def min_rows(n: int, least: int) -> Check:
+def min_rows(n: int, least: int) -> Finding:
     if n < least:
-        return fail("min_rows", f"{n} rows are fewer than the {least} expected", n_offending=n, min_rows=least)
-    return ok("min_rows", f"{n} rows, at least {least} expected")
+        return finding("min_rows", SUSPECT, f"{n} rows are fewer than the {least} expected", n=n, min_rows=least)
+    return finding("min_rows", HOLDS, f"{n} rows, at least {least} expected")
 
 
-def duplicate_columns(header: list[str]) -> Check:
+def duplicate_columns(header: list[str]) -> Finding:
     twice = sorted({c for c in header if header.count(c) > 1})
     if twice:
-        return fail("duplicate_columns", f"column labels occur more than once: {twice}", ERROR, n_offending=len(twice), duplicates=twice)
-    return ok("duplicate_columns", "every column label occurs once")
+        return finding("duplicate_columns", BROKEN, f"column labels occur more than once: {twice}", n=len(twice), duplicates=twice)
+    return finding("duplicate_columns", HOLDS, "every column label occurs once")
 
 
-def raw_schema_drift(columns: list[str], contract: RawContract | None) -> list[Check]:
+def raw_schema_drift(columns: list[str], contract: RawContract | None) -> list[Finding]:
     if contract is None:
-        return [fail("raw_schema_registered", "no raw contract is declared for this source, so drift can't be seen")]
+        return [finding("raw_schema_registered", SUSPECT, "no raw contract is declared for this source, so drift can't be seen")]
     present, required, expected = set(columns), set(contract.required), set(contract.columns)
     gone, optional, new = sorted(required - present), sorted(expected - required - present), sorted(present - expected)
     version = {"raw_schema_version": contract.version}
     out = [
-        fail("raw_required_columns", f"required columns are gone: {gone}", ERROR, n_offending=len(gone), missing=gone, **version)
+        finding("raw_required_columns", BROKEN, f"required columns are gone: {gone}", n=len(gone), missing=gone, **version)
         if gone
-        else ok("raw_required_columns", f"all {len(required)} required columns are there")
+        else finding("raw_required_columns", HOLDS, f"all {len(required)} required columns are there")
     ]
     if optional:
-        out.append(fail("raw_optional_columns", f"optional columns are gone: {optional}", n_offending=len(optional), missing=optional))
+        out.append(finding("raw_optional_columns", SUSPECT, f"optional columns are gone: {optional}", n=len(optional), missing=optional))
     out.append(
-        fail("raw_unexpected_columns", f"columns that no contract declares: {new}", n_offending=len(new), unexpected=new, **version)
+        finding("raw_unexpected_columns", SUSPECT, f"columns that no contract declares: {new}", n=len(new), unexpected=new, **version)
         if new
-        else ok("raw_unexpected_columns", "no undeclared columns")
+        else finding("raw_unexpected_columns", HOLDS, "no undeclared columns")
     )
     return out
 
@@ -90,30 +89,30 @@ def raw_schema_drift(columns: list[str], contract: RawContract | None) -> list[C
 # Schema pass
 
 
-def canonical_columns(columns: list[str], contract: TableContract) -> list[Check]:
+def canonical_columns(columns: list[str], contract: TableContract) -> list[Finding]:
     missing = [c for c in contract.required_columns if c not in columns]
     extra = sorted(set(columns) - set(contract.column_names))
     out = [
-        fail("canonical_columns", f"canonical columns are missing: {missing}", ERROR, n_offending=len(missing), missing=missing, schema_version=contract.version)
+        finding("canonical_columns", BROKEN, f"canonical columns are missing: {missing}", n=len(missing), missing=missing, schema_version=contract.version)
         if missing
-        else ok("canonical_columns", f"all {len(contract.required_columns)} canonical columns are there")
+        else finding("canonical_columns", HOLDS, f"all {len(contract.required_columns)} canonical columns are there")
     ]
-    return out + ([fail("canonical_extra_columns", f"undeclared columns: {extra}", n_offending=len(extra), extra=extra)] if extra else [])
+    return out + ([finding("canonical_extra_columns", SUSPECT, f"undeclared columns: {extra}", n=len(extra), extra=extra)] if extra else [])
 
 
-def dtypes(schema: T.StructType, contract: TableContract) -> Check:
+def dtypes(schema: T.StructType, contract: TableContract) -> Finding:
     wrong = {f.name: f"declared {contract.spec(f.name).kind}, got {f.dataType.simpleString()}" for f in schema if f.name in contract.column_names and not family_matches(f.dataType, contract.spec(f.name).kind)}
     if wrong:
-        return fail("dtypes", f"{len(wrong)} columns aren't of their declared type family", ERROR, n_offending=len(wrong), mismatches=wrong, schema_version=contract.version)
-    return ok("dtypes", "all columns are of their declared type families")
+        return finding("dtypes", BROKEN, f"{len(wrong)} columns aren't of their declared type family", n=len(wrong), mismatches=wrong, schema_version=contract.version)
+    return finding("dtypes", HOLDS, "all columns are of their declared type families")
 
 
-def timestamp_timezone(schema: T.StructType, date: str = "date") -> Check:
+def timestamp_timezone(schema: T.StructType, date: str = "date") -> Finding:
     if date not in schema.names:
-        return fail("timestamp_timezone", f"there is no column {date}", ERROR, column=date)
+        return finding("timestamp_timezone", BROKEN, f"there is no column {date}", column=date)
     if type_family(schema[date].dataType) == "datetime_tz":
-        return fail("timestamp_timezone", f"{date} has a time zone, which can move a trading day", ERROR, column=date, timezone="session")
-    return ok("timestamp_timezone", f"{date} has no time zone")
+        return finding("timestamp_timezone", BROKEN, f"{date} has a time zone, which can move a trading day", column=date, timezone="session")
+    return finding("timestamp_timezone", HOLDS, f"{date} has no time zone")
 
 
 # Scalar pass
@@ -137,183 +136,194 @@ def scalar_profile(df: DataFrame, contract: TableContract) -> dict[str, Any]:
     return df.agg(*measures).first().asDict()
 
 
-def nullability(profile: dict[str, Any], contract: TableContract, error_ratio: float) -> list[Check]:
+def nullability(profile: dict[str, Any], contract: TableContract, error_ratio: float) -> list[Finding]:
     out = []
     for c in contract.non_nullable_columns:
         n = profile.get(f"null:{c}", 0)
         if n:
             ratio = n / max(profile["n"], 1)
-            out.append(fail("nullability", f"{c} must not be null, but {n} rows are ({ratio:.2%})", ERROR if ratio > error_ratio else WARNING, column=c, n_offending=n, missing_ratio=round(ratio, 6), threshold=error_ratio))
-    return out or [ok("nullability", "no nulls where none are allowed")]
+            out.append(finding("nullability", BROKEN if ratio > error_ratio else SUSPECT, f"{c} must not be null, but {n} rows are ({ratio:.2%})", column=c, n=n, missing_ratio=round(ratio, 6), threshold=error_ratio))
+    return out or [finding("nullability", HOLDS, "no nulls where none are allowed")]
 
 
-def record_contract(df: DataFrame, profile: dict[str, Any], contract: TableContract) -> Check:
+def record_contract(df: DataFrame, profile: dict[str, Any], contract: TableContract) -> Finding:
     """All rows, not a sample; the count is reported up to SAMPLE_FAILURES as the rule asks only whether it holds."""
     business = [c for c in contract.record_columns if c in df.columns]
     if not profile["invalid"]:
-        return ok("record_contract", f"all {profile['n']} rows keep the {contract.name} row rules")
+        return finding("record_contract", HOLDS, f"all {profile['n']} rows keep the {contract.name} row rules")
     shown = examples(df.where(~contract.row_is_valid(business)), business)[:3]
     n = min(profile["invalid"], SAMPLE_FAILURES)
-    return fail("record_contract", f"{profile['invalid']} rows break the {contract.name} row rules", ERROR, n_offending=n, sample_size=profile["n"], n_all=profile["invalid"], examples=shown)
+    return finding("record_contract", BROKEN, f"{profile['invalid']} rows break the {contract.name} row rules", n=n, sample_size=profile["n"], n_all=profile["invalid"], examples=shown)
 
 
-def positive_prices(profile: dict[str, Any]) -> Check:
+def positive_prices(profile: dict[str, Any]) -> Finding:
     per = {k[4:]: n for k, n in profile.items() if k.startswith("low:") and n}
     if per:
-        return fail("positive_prices", f"prices of zero or less: {per}", ERROR, n_offending=sum(per.values()), per_column=per)
-    return ok("positive_prices", "all prices are above zero")
+        return finding("positive_prices", BROKEN, f"prices of zero or less: {per}", n=sum(per.values()), per_column=per)
+    return finding("positive_prices", HOLDS, "all prices are above zero")
 
 
-def finite_values(profile: dict[str, Any]) -> Check:
+def finite_values(profile: dict[str, Any]) -> Finding:
     per = {k[4:]: n for k, n in profile.items() if k.startswith("inf:") and n}
     if per:
-        return fail("finite_values", f"infinite values: {per}", ERROR, n_offending=sum(per.values()), per_column=per)
-    return ok("finite_values", "no infinite values")
+        return finding("finite_values", BROKEN, f"infinite values: {per}", n=sum(per.values()), per_column=per)
+    return finding("finite_values", HOLDS, "no infinite values")
 
 
-def ohlc_consistency(df: DataFrame, profile: dict[str, Any]) -> Check:
+def ohlc_consistency(df: DataFrame, profile: dict[str, Any]) -> Finding:
     if "bars" not in profile:
-        return ok("ohlc_consistency", "no bars here; passed over")
+        return finding("ohlc_consistency", HOLDS, "no bars here; passed over")
     n = profile["bars"]
     if not n:
-        return ok("ohlc_consistency", f"all {profile['n']} bars are in order")
+        return finding("ohlc_consistency", HOLDS, f"all {profile['n']} bars are in order")
     keys = [c for c in ("date", "ticker") if c in df.columns]
     shown = examples(df.where(bars.high_violation() | bars.low_violation()), [*keys, "open", "high", "low", "close"])
-    return fail("ohlc_consistency", f"{n} bars have a high or low inside their other prices", ERROR, n_offending=n, n_high_violations=profile["bars_high"], n_low_violations=profile["bars_low"], examples=shown)
+    return finding("ohlc_consistency", BROKEN, f"{n} bars have a high or low inside their other prices", n=n, n_high_violations=profile["bars_high"], n_low_violations=profile["bars_low"], examples=shown)
 
 
-def volume_sanity(profile: dict[str, Any]) -> list[Check]:
+def volume_sanity(profile: dict[str, Any]) -> list[Finding]:
     if "volumes" not in profile:
-        return [ok("volume_sanity", "no volume here; passed over")]
+        return [finding("volume_sanity", HOLDS, "no volume here; passed over")]
     n, zero = profile["negative_volume"], profile["zero_volume"]
     share = zero / max(profile["volumes"], 1)
     return [
-        fail("volume_non_negative", f"{n} rows have a negative volume", ERROR, column="volume", n_offending=n) if n else ok("volume_non_negative", "no negative volume"),
-        fail("volume_zero_share", f"{share:.2%} of volumes are zero, as if days without trading were listed", column="volume", n_offending=zero, zero_share=round(share, 4))
+        finding("volume_non_negative", BROKEN, f"{n} rows have a negative volume", column="volume", n=n) if n else finding("volume_non_negative", HOLDS, "no negative volume"),
+        finding("volume_zero_share", SUSPECT, f"{share:.2%} of volumes are zero, as if days without trading were listed", column="volume", n=zero, zero_share=round(share, 4))
         if share > ZERO_VOLUME_SHARE
-        else ok("volume_zero_share", f"{share:.2%} of volumes are zero"),
+        else finding("volume_zero_share", HOLDS, f"{share:.2%} of volumes are zero"),
     ]
 
 
 # Series pass
 
 
-def unique_rows(df: DataFrame, name: str, keys: list[str]) -> Check:
+def unique_rows(df: DataFrame, name: str, keys: list[str]) -> Finding:
     """Shared by the primary key and the (entity, date) check."""
     missing = [c for c in keys if c not in df.columns]
     if missing:
-        return fail(name, "key columns are missing", ERROR, missing=missing)
+        return finding(name, BROKEN, "key columns are missing", missing=missing)
     twice = duplicate_keys(df, keys)
     n = twice.agg(F.sum("n_rows")).first()[0] or 0
     if n:
         first = twice.orderBy(*keys).limit(EXAMPLES).collect()
-        return fail(name, f"{n} rows share their ({', '.join(keys)})", ERROR, n_offending=n, primary_key=keys, examples=[{k: str(r[k]) for k in keys} for r in first])
-    return ok(name, f"({', '.join(keys)}) is unique")
+        return finding(name, BROKEN, f"{n} rows share their ({', '.join(keys)})", n=n, primary_key=keys, examples=[{k: str(r[k]) for k in keys} for r in first])
+    return finding(name, HOLDS, f"({', '.join(keys)}) is unique")
 
 
-def monotonic_timestamps(df: DataFrame, entity: str, date: str = "date") -> Check:
+def monotonic_timestamps(df: DataFrame, entity: str, date: str = "date") -> Finding:
     n, rows = offenders(series.out_of_order(df, entity, date, ORDER), entity)
     if n:
-        return fail("monotonic_timestamps", f"{n} series don't arrive in order of date", n_offending=n, entities=[str(r[entity]) for r in rows][:10])
-    return ok("monotonic_timestamps", "all series arrive in order of date")
+        return finding("monotonic_timestamps", SUSPECT, f"{n} series don't arrive in order of date", n=n, entities=[str(r[entity]) for r in rows][:10])
+    return finding("monotonic_timestamps", HOLDS, "all series arrive in order of date")
 
 
-def calendar_gaps(df: DataFrame, entity: str, date: str = "date", frequency: str | None = None, default: str = "B") -> Check:
+def calendar_gaps(df: DataFrame, entity: str, date: str = "date", frequency: str | None = None, default: str = "B") -> Finding:
     gaps = series.calendar_gaps(df, entity, date, frequency, default, ORDER if frequency and ORDER in df.columns else None).where("missing > 0")
     n, rows = offenders(gaps, entity)
     if not n:
-        return ok("calendar_gaps", "no missing observations")
+        return finding("calendar_gaps", HOLDS, "no missing observations")
     worst = gaps.agg(F.max("max_gap").alias("gap"), F.max("missing_ratio").alias("ratio")).first()
     per = {str(r[entity]): {"missing": r.missing, "max_gap": r.max_gap, "unit": r.unit, "missing_ratio": round(r.missing_ratio, 4), "n_observations": r.n_observations} for r in rows}
     text = f"{n} series miss observations (largest gap {worst.gap}, largest share {worst.ratio:.2%})"
     if worst.gap > SUSPICIOUS_GAP or worst.ratio > MISSING_SHARE:
-        return fail("calendar_gaps", text, n_offending=n, per_series=per, suspicious_gap_threshold=SUSPICIOUS_GAP)
-    return ok("calendar_gaps", text + ", as holidays would", per_series=per)
+        return finding("calendar_gaps", SUSPECT, text, n=n, per_series=per, suspicious_gap_threshold=SUSPICIOUS_GAP)
+    return finding("calendar_gaps", HOLDS, text + ", as holidays would", per_series=per)
 
 
-def frequency_consistency(df: DataFrame, entity: str, date: str = "date") -> Check:
+def frequency_consistency(df: DataFrame, entity: str, date: str = "date") -> Finding:
     n, rows = offenders(series.step_consistency(df, entity, date).where(F.col("irregular_share") > IRREGULAR_SHARE), entity)
     if n:
         per = {str(r[entity]): {"modal_step_days": r.modal_step, "irregular_share": round(r.irregular_share, 4), "example_steps": list(r.example_steps)} for r in rows}
-        return fail("frequency_consistency", f"{n} series change their spacing", n_offending=n, per_series=per)
-    return ok("frequency_consistency", "spacing is even")
+        return finding("frequency_consistency", SUSPECT, f"{n} series change their spacing", n=n, per_series=per)
+    return finding("frequency_consistency", HOLDS, "spacing is even")
 
 
-def stale_values(df: DataFrame, entity: str, value: str, date: str = "date", longest: int = STALE_RUN) -> Check:
+def stale_values(df: DataFrame, entity: str, value: str, date: str = "date", longest: int = STALE_RUN) -> Finding:
     order = [date, ORDER] if ORDER in df.columns else [date]
     n, rows = offenders(series.stale_runs(df, entity, value, order).where(F.col("run_length") > longest), entity)
     if n:
         per = {str(r[entity]): {"run_length": r.run_length, "value": float(r.value)} for r in rows}
-        return fail("stale_values", f"{n} series stay the same for more than {longest} observations", column=value, n_offending=n, per_series=per)
-    return ok("stale_values", f"no series stays the same for more than {longest} observations")
+        return finding("stale_values", SUSPECT, f"{n} series stay the same for more than {longest} observations", column=value, n=n, per_series=per)
+    return finding("stale_values", HOLDS, f"no series stays the same for more than {longest} observations")
 
 
-def extreme_returns(df: DataFrame, threshold: float, entity: str = "ticker", price: str | None = None, date: str = "date") -> Check:
+def extreme_returns(df: DataFrame, threshold: float, entity: str = "ticker", price: str | None = None, date: str = "date") -> Finding:
     price = price or ("adj_close" if "adj_close" in df.columns else "close")
     if price not in df.columns or entity not in df.columns:
-        return ok("extreme_returns", "no prices here; passed over")
+        return finding("extreme_returns", HOLDS, "no prices here; passed over")
     order = [date, ORDER] if ORDER in df.columns else [date]
     extreme = series.moves(df.where(F.col(entity).isNotNull()), entity, price, order, threshold).where("extreme")
     n = extreme.count()
     if n:
         first = extreme.orderBy(entity, *order).limit(EXAMPLES).collect()
         shown = [{entity: r[entity], date: str(r[date]), "log_return": round(r.log_move, 4)} for r in first]
-        return fail("extreme_returns", f"{n} daily moves are larger than {threshold} in logs", column=price, n_offending=n, threshold=threshold, examples=shown)
-    return ok("extreme_returns", f"no daily move is larger than {threshold} in logs")
+        return finding("extreme_returns", SUSPECT, f"{n} daily moves are larger than {threshold} in logs", column=price, n=n, threshold=threshold, examples=shown)
+    return finding("extreme_returns", HOLDS, f"no daily move is larger than {threshold} in logs")
 
 
-def value_missingness(df: DataFrame, entity: str, value: str = "value", error_ratio: float = 0.05) -> Check:
+def value_missingness(df: DataFrame, entity: str, value: str = "value", error_ratio: float = 0.05) -> Finding:
     if value not in df.columns or entity not in df.columns:
-        return ok("value_missingness", "no such columns; passed over")
+        return finding("value_missingness", HOLDS, "no such columns; passed over")
     per = series.missingness(df, entity, value)
     n, rows = offenders(per, entity)
     if not n:
-        return ok("value_missingness", "no missing values")
+        return finding("value_missingness", HOLDS, "no missing values")
     total = per.agg(F.sum("missing").alias("missing"), F.max("missing_ratio").alias("worst")).first()
     listed = {str(r[entity]): {"missing": r.missing, "n_observations": r.n_observations, "missing_ratio": round(r.missing_ratio, 4)} for r in rows}
-    severity = ERROR if total.worst > error_ratio else WARNING
-    return fail("value_missingness", f"{n} series have missing values (largest share {total.worst:.2%})", severity, column=value, n_offending=total.missing, per_series=listed, error_ratio=error_ratio)
+    level = BROKEN if total.worst > error_ratio else SUSPECT
+    return finding("value_missingness", level, f"{n} series have missing values (largest share {total.worst:.2%})", column=value, n=total.missing, per_series=listed, error_ratio=error_ratio)
 
 
 # Cross-source pass
 
 
-def cross_source_consistency(macro: DataFrame, tolerance_bp: float) -> list[Check]:
+def cross_source_verdicts(macro: DataFrame, tolerance_bp: float) -> DataFrame:
+    """Every pair of sources of every indicator with its level; indicators in mixed units are left out."""
+    order = ORDER if ORDER in macro.columns else None
+    comparable = macro.join(pairs.mixed_units(macro).select("indicator"), "indicator", "left_anti")
+    return pairs.verdicts(pairs.source_pairs(comparable, tolerance_bp, order=order), tolerance_bp, MIN_OVERLAP, BREACH_SHARE, UNIT_MISMATCH)
+
+
+def cross_source_consistency(macro: DataFrame, tolerance_bp: float) -> list[Finding]:
+    """Every pair is judged by Spark. The worst DETAILS have a finding each; of any others of a level, one tells how many."""
     if not {"date", "indicator", "value", "source"} <= set(macro.columns):
-        return [fail("cross_source_inputs", "the columns to compare sources by are missing", ERROR)]
+        return [finding("cross_source_inputs", BROKEN, "the columns to compare sources by are missing")]
     if "unit" not in macro.columns:
         macro = macro.withColumn("unit", F.lit("unknown"))
-    out = []
-    mixed = pairs.mixed_units(macro)
-    for r in mixed.orderBy("indicator").collect():  # each is an error of its own
-        out.append(fail("cross_source_units", f"{r.indicator} comes in different units: {r.units}", ERROR, column=str(r.indicator), n_offending=len(r.units), units=list(r.units), sources=list(r.sources)))
-    order = ORDER if ORDER in macro.columns else None
-    comparable = macro.join(mixed.select("indicator"), "indicator", "left_anti") if out else macro
-    compared, by = pairs.source_pairs(comparable, tolerance_bp, order=order), ["indicator", "left", "right"]
-    failing = F.coalesce((F.col("overlap") >= MIN_OVERLAP) & ((F.col("median_abs_diff_bp") > tolerance_bp) | (F.col("breach_share") > BREACH_SHARE)), F.lit(False))
-    compared = compared.where(failing).collect() + compared.where(~failing).orderBy(*by).limit(DETAILS).collect()  # of pairs that pass, the first are listed
-    compared.sort(key=lambda r: tuple(str(r[c]) for c in by))
-    out += [_pair(r, tolerance_bp) for r in compared]
-    if not compared:
-        out.append(ok("cross_source_consistency", "no indicator has two sources to compare"))
+    n, mixed = offenders(pairs.mixed_units(macro), "indicator")
+    out = [finding("cross_source_units", BROKEN, f"{r.indicator} comes in different units: {r.units}", column=str(r.indicator), n=len(r.units), units=list(r.units), sources=list(r.sources)) for r in mixed]
+    if n > len(mixed):
+        out.append(finding("cross_source_units", BROKEN, f"{n - len(mixed)} more indicators come in different units", n=n - len(mixed)))
+    by = ["indicator", "left", "right"]
+    judged = cross_source_verdicts(macro, tolerance_bp).persist()
+    try:
+        listed = judged.orderBy(F.desc("level"), *by).limit(DETAILS).collect()
+        per_level = {r.level: r["count"] for r in judged.groupBy("level").count().collect()}
+    finally:
+        judged.unpersist()
+    out += [_pair(r, tolerance_bp) for r in sorted(listed, key=lambda r: tuple(str(r[c]) for c in by))]
+    for level, total in sorted(per_level.items()):
+        if rest := total - sum(r.level == level for r in listed):
+            out.append(finding("cross_source_consistency", level, f"{rest} more pairs of sources are judged {SPELLED[level]}", n=rest if level else 0, pairs=rest))
+    if not per_level:
+        out.append(finding("cross_source_consistency", HOLDS, "no indicator has two sources to compare"))
     return out
 
 
-def _pair(r, tolerance: float) -> Check:
-    name, who = "cross_source_consistency", f"{r.indicator}: {r.left} and {r.right}"
-    pair = [r.left, r.right]
+def _pair(r, tolerance: float) -> Finding:
+    """The finding on one judged pair."""
+    name, who, pair = "cross_source_consistency", f"{r.indicator}: {r.left} and {r.right}", [r.left, r.right]
     if r.overlap < MIN_OVERLAP:
-        return ok(name, f"{who} share {r.overlap} dates, too few to compare", indicator=str(r.indicator), pair=pair, overlap=r.overlap)
-    details = {
-        "indicator": str(r.indicator), "pair": pair, "unit": r.unit, "overlap": r.overlap, "median_abs_diff_bp": round(r.median_abs_diff_bp, 4), "p95_abs_diff_bp": round(r.p95_abs_diff_bp, 4),
-        "max_abs_diff_bp": round(r.max_abs_diff_bp, 4), "breach_share": round(r.breach_share, 4), "correlation": None if r.correlation is None else round(r.correlation, 6), "tolerance_bp": tolerance,
-    }
-    median = r.median_abs_diff_bp
-    if median > tolerance * UNIT_MISMATCH:
-        return fail(name, f"{who} are {median:.1f} bp apart at the median, more than revisions explain: are the units right?", ERROR, column=str(r.indicator), n_offending=r.n_breach, **details)
-    if median > tolerance or r.breach_share > BREACH_SHARE:
-        return fail(name, f"{who} disagree on {r.breach_share:.1%} of {r.overlap} dates (median {median:.2f} bp, tolerance {tolerance:.1f} bp)", column=str(r.indicator), n_offending=r.n_breach, **details)
-    return ok(name, f"{who} agree within {tolerance:.1f} bp on {r.overlap} dates (median {median:.2f} bp)", **details)
+        return finding(name, HOLDS, f"{who} share {r.overlap} dates, too few to compare", indicator=str(r.indicator), pair=pair, overlap=r.overlap)
+    evidence = {c: round(r[c], 4) for c in ("median_abs_diff_bp", "p95_abs_diff_bp", "max_abs_diff_bp", "breach_share")}
+    evidence |= {"indicator": str(r.indicator), "pair": pair, "unit": r.unit, "overlap": r.overlap, "correlation": None if r.correlation is None else round(r.correlation, 6), "tolerance_bp": tolerance}
+    apart = f"median {r.median_abs_diff_bp:.2f} bp, tolerance {tolerance:.1f} bp"
+    text = {
+        BROKEN: f"{who} are too far apart for revisions to explain ({apart}): are the units right?",
+        SUSPECT: f"{who} disagree on {r.breach_share:.1%} of {r.overlap} dates ({apart})",
+        HOLDS: f"{who} agree on {r.overlap} dates ({apart})",
+    }[r.level]
+    return finding(name, r.level, text, column=str(r.indicator) if r.level else None, n=r.n_breach if r.level else 0, **evidence)
 
 
 # Runners
@@ -325,18 +335,14 @@ def side_by_side(parts: list[Callable[[], Any]]) -> list[Any]:
         return list(pool.map(lambda f: f(), parts))
 
 
-def validate_raw(df: DataFrame, *, source: str, dataset: str, run_id: str, settings: Settings | None = None, header: list[str] | None = None, contract: RawContract | None = None) -> Report:
+def validate_raw(df: DataFrame, *, source: str, dataset: str, run_id: str, settings: Settings | None = None, header: list[str] | None = None, contract: RawContract | None = None) -> Checked:
     settings = settings or get_settings()
-    columns = [c for c in df.columns if c != ORDER]
-    report = Report(dataset, source, "raw", run_id, df.count())
-    report.add(payload_not_empty(report.n_rows))
-    report.add(duplicate_columns(header or columns))
-    report.add(raw_schema_drift(columns, contract or get_raw_contract(source, dataset)))
-    report.add(min_rows(report.n_rows, settings.min_expected_rows))
-    return report
+    columns, n = [c for c in df.columns if c != ORDER], df.count()
+    found = [payload_not_empty(n), duplicate_columns(header or columns), raw_schema_drift(columns, contract or get_raw_contract(source, dataset)), min_rows(n, settings.min_expected_rows)]
+    return Checked.now(Subject(run_id, dataset, source, "raw"), n, found)
 
 
-def validate_normalized(df: DataFrame, *, dataset: str, source: str, run_id: str, settings: Settings | None = None, contract: TableContract | None = None) -> Report:
+def validate_normalized(df: DataFrame, *, dataset: str, source: str, run_id: str, settings: Settings | None = None, contract: TableContract | None = None) -> Checked:
     """df is read several times: persist it first. The arrival order column is not part of the table."""
     settings, contract = settings or get_settings(), contract or get_contract(dataset)
     if dataset not in ENTITY:
@@ -344,9 +350,8 @@ def validate_normalized(df: DataFrame, *, dataset: str, source: str, run_id: str
     entity, columns = ENTITY[dataset], [c for c in df.columns if c != ORDER]
     ordered = df if ORDER in df.columns else df.withColumn(ORDER, F.monotonically_increasing_id())
     profile = scalar_profile(df, contract)
-    report = Report(dataset, source, "normalized", run_id, profile["n"])
     frequency = "frequency" if "frequency" in columns else None
-    parts: list[Callable[[], Check | list[Check]]] = [
+    parts: list[Callable[[], Finding | list[Finding]]] = [
         lambda: canonical_columns(columns, contract),
         lambda: dtypes(df.select(*columns).schema, contract),
         lambda: nullability(profile, contract, settings.missing_ratio_error),
@@ -372,15 +377,13 @@ def validate_normalized(df: DataFrame, *, dataset: str, source: str, run_id: str
             lambda: value_missingness(df, entity, "value", settings.missing_ratio_error),
             lambda: stale_values(ordered, entity, "value"),
         ]
-    for found in side_by_side(parts):
-        report.add(found)
-    for issue in report.issues:
-        logger().warning("%s %s: %s", issue.severity.value, issue.name, issue.message)
-    return report
+    checked = Checked.now(Subject(run_id, dataset, source, "normalized"), profile["n"], side_by_side(parts))
+    for f in checked.reaching(SUSPECT):
+        logger().warning("%s %s: %s", SPELLED[f.level], f.check, f.text)
+    return checked
 
 
-def validate_cross_source(macro: DataFrame, *, run_id: str, settings: Settings | None = None) -> Report:
+def validate_cross_source(macro: DataFrame, *, run_id: str, settings: Settings | None = None) -> Checked:
     settings = settings or get_settings()
-    report = Report(MACRO_DATA.name, "__cross_source__", "cross_source", run_id, macro.count())
-    report.add(cross_source_consistency(macro, settings.cross_source_tolerance_bp))
-    return report
+    found = cross_source_consistency(macro, settings.cross_source_tolerance_bp)
+    return Checked.now(Subject(run_id, MACRO_DATA.name, "__cross_source__", "cross_source"), macro.count(), found)

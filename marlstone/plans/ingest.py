@@ -15,7 +15,7 @@ from ..sources.connectors import DEFAULT_START, FetchRequest, connector_for, pla
 from ..sources.rawzone import ChecksumError, RawZone, Snapshot
 from .checks import side_by_side, validate_cross_source, validate_normalized, validate_raw
 from .lake import Lake
-from .report import Report
+from .findings import BROKEN, Checked, log_table, totals
 
 
 @dataclass
@@ -25,16 +25,11 @@ class RunResult:
     warehouse: str
     loaded_rows: dict[str, int] = field(default_factory=dict)
     quarantined: list[tuple[str, str]] = field(default_factory=list)
-    reports: list[Report] = field(default_factory=list)
-    cross_source: Report | None = None
-
-    @property
-    def n_errors(self) -> int:
-        return sum(len(r.errors) for r in self.reports)
-
-    @property
-    def n_warnings(self) -> int:
-        return sum(len(r.warnings) for r in self.reports)
+    checked: list[Checked] = field(default_factory=list)
+    cross_source: Checked | None = None
+    n_checks: int = 0
+    n_errors: int = 0
+    n_warnings: int = 0
 
     def summary(self) -> str:
         parts = [f"{self.mode} run {self.run_id}"]
@@ -58,10 +53,10 @@ def collect_live(zone: RawZone, run: Run, settings: Settings, sources, start: dt
 
 @dataclass
 class Judged:
-    """A snapshot's reports, and its canonical rows if there are any to load or to quarantine."""
+    """What was found on a snapshot, raw and normalized, and its canonical rows if there are any to load or to quarantine."""
 
     snapshot: Snapshot
-    reports: list[Report]
+    checked: list[Checked]
     rows: DataFrame | None = None
 
 
@@ -69,7 +64,7 @@ def _judge(zone: RawZone, s: Snapshot, place: int, run: Run, settings: Settings,
     """Raw checks, normalization and normalized checks of one snapshot; persisted rows are added to kept."""
     raw = zone.read(s, place)
     out = Judged(s, [validate_raw(raw, source=s.source, dataset=s.dataset, run_id=run.run_id, settings=settings, header=zone.header(s))])
-    if out.reports[0].blocking or s.dataset not in NORMALIZERS:
+    if out.checked[0].level() == BROKEN or s.dataset not in NORMALIZERS:
         return out
     df = NORMALIZERS[s.dataset][0](raw, source=s.source, snapshot_id=s.snapshot_id, run_id=run.run_id, ingested_at=now)
     if df is None:
@@ -79,7 +74,7 @@ def _judge(zone: RawZone, s: Snapshot, place: int, run: Run, settings: Settings,
     if df.isEmpty():
         logger().warning("%s has no usable rows", s.snapshot_id)
         return out
-    out.reports.append(validate_normalized(df, dataset=s.dataset, source=s.source, run_id=run.run_id, settings=settings))
+    out.checked.append(validate_normalized(df, dataset=s.dataset, source=s.source, run_id=run.run_id, settings=settings))
     out.rows = df
     return out
 
@@ -88,7 +83,7 @@ def run_pipeline(spark: SparkSession, *, mode: str = "offline", sources: tuple[s
     """One run over all snapshots of a raw zone (offline) or of what the plan fetches now (live).
 
     Snapshots are taken latest first, so where two deliver one key the later delivery wins. Offline runs honour
-    `sources`, and every checksum is verified. Reports are stored before anything is loaded.
+    `sources`, and every checksum is verified. Findings are stored before anything is loaded.
     """
     settings = settings or get_settings()
     if mode not in ("offline", "live"):
@@ -109,8 +104,8 @@ def run_pipeline(spark: SparkSession, *, mode: str = "offline", sources: tuple[s
     now = utc_now()
     try:
         for judged in side_by_side([partial(_judge, zone, s, place, run, settings, now, kept) for place, s in enumerate(snapshots)]):
-            result.reports += judged.reports
-            if judged.rows is not None and judged.reports[-1].blocking:
+            result.checked += judged.checked
+            if judged.rows is not None and judged.checked[-1].level() == BROKEN:
                 lake.quarantine(judged.snapshot.dataset, judged.snapshot.source, run, judged.rows)
                 result.quarantined.append((judged.snapshot.dataset, judged.snapshot.source))
             elif judged.rows is not None:
@@ -118,8 +113,10 @@ def run_pipeline(spark: SparkSession, *, mode: str = "offline", sources: tuple[s
         tables = {d: reduce(DataFrame.unionByName, parts) for d, parts in good.items()}
         if MACRO_DATA.name in tables:
             result.cross_source = validate_cross_source(tables[MACRO_DATA.name], run_id=run.run_id, settings=settings)
-            result.reports.append(result.cross_source)
-        lake.persist_validation(result.reports)
+            result.checked.append(result.cross_source)
+        lake.persist_validation(result.checked)
+        counted = totals(log_table(spark, result.checked)).first()
+        result.n_checks, result.n_errors, result.n_warnings = counted.checks, counted.errors, counted.warnings
         for dataset, df in tables.items():
             result.loaded_rows[dataset] = lake.load_dataset(dataset, df, run)
     finally:

@@ -17,7 +17,7 @@ from ..contracts import CONTRACTS, DATASET_METADATA, VALIDATION_RESULTS, get_con
 from ..operators.dedup import keep_first
 from ..settings import Run
 from ..sources.rawzone import ORDER, Files
-from .report import Report
+from .findings import Checked, log_table
 
 
 class ContractViolation(ValueError):
@@ -94,13 +94,14 @@ class Lake:
         self.ensure()
         return sum(r.n for r in found)
 
-    def persist_validation(self, reports: Report | list[Report]) -> int:
-        """Append the reports' checks."""
-        rows = [x for r in (reports if isinstance(reports, list) else [reports]) for x in r.rows()]
-        if rows:
-            self.spark.createDataFrame(rows, validation_struct()).coalesce(1).write.mode("append").parquet(self.path(VALIDATION_RESULTS.name))
+    def persist_validation(self, checked: Checked | list[Checked]) -> int:
+        """Append all findings to the check log; their number."""
+        several = [checked] if isinstance(checked, Checked) else list(checked)
+        n = sum(len(c.found) for c in several)
+        if n:
+            log_table(self.spark, several).coalesce(1).write.mode("append").parquet(self.path(VALIDATION_RESULTS.name))
             self.ensure()
-        return len(rows)
+        return n
 
     def quarantine(self, name: str, source: str, run: Run, df: DataFrame) -> str:
         """Keep rejected rows as CSV for inspection; they are never loaded."""

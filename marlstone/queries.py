@@ -6,6 +6,8 @@ six places on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,13 +15,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import select_rows, summarize_checks
-from .contracts import MACRO_DATA, MARKET_PRICES
+from . import registries
+from .api import select_rows, summarize_checks, us10y_cross_source as us10y, validation_report
+from .contracts import CURVE_DATE, CURVE_LABELS, MACRO_DATA, MARKET_PRICES, get_raw_contract, type_family
 from .functions import business_days, date_from_text, months, number_from_text
 from .operators import bars, dedup, normalize, pairs, series
 from .plans import checks
+from .plans.findings import HOLDS, SPELLED, Checked, Subject, log_table
+from .plans.ingest import run_pipeline
 from .plans.lake import Lake
-from .settings import Run, utc_now
+from .settings import Run, Settings, utc_now
+from .sources.connectors import FetchRequest, connector_for, list_connectors, plan_for
 from .sources.rawzone import ORDER, RawZone, arrival
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +54,15 @@ def r6(c):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder for written tables, where all executors reach it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or tempfile.mkdtemp(prefix='marlstone-')).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    """A new folder for written tables, where all executors reach it; it goes when the driver ends."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    folder = f"{(named or tempfile.mkdtemp(prefix='marlstone-')).rstrip('/')}/lake-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -235,6 +247,15 @@ def extreme_returns(spark, d):
     return found.select("user_id", "event_id", r6("log_move").alias("log_move"))
 
 
+@query("""SELECT user_id, event_id, CASE WHEN v = 0 THEN 'to zero' ELSE 'from zero' END AS move FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before
+  FROM (SELECT *, CASE WHEN event_id % 23 = 0 THEN 0.0 ELSE value END AS v FROM events)) WHERE (v = 0) <> (before = 0) AND v >= 0 AND before >= 0""")
+def infinite_returns(spark, d):
+    """Moves to zero and from it are infinite in logs, and reported."""
+    rows = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 23 == 0, 0.0).otherwise(F.col("value")))
+    found = series.moves(rows, "user_id", "v", ["ts", "event_id"], 2.5).where("extreme and abs(log_move) = double('inf')")
+    return found.select("user_id", "event_id", F.when(F.col("log_move") < 0, "to zero").otherwise("from zero").alias("move"))
+
+
 @query("""SELECT o_custkey, count(*) AS n_out_of_order FROM (SELECT o_custkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
   WHERE o_orderdate < before GROUP BY 1""")
 def monotonic_timestamps(spark, d):
@@ -356,10 +377,11 @@ def calendar_distances(spark, d):
 
 
 def _macro_rows(spark: SparkSession, d: str) -> DataFrame:
-    nation = table(spark, d, "nation")
-    n = F.col("n_nationkey")
-    return nation.select(
-        F.date_add(F.lit("2024-01-01").cast("date"), n % 10).alias("date"), F.col("n_name").alias("indicator"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("source"), n.cast("double").alias("value"),
+    """Every order as an observation of its own indicator, from five sources."""
+    orders = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    return orders.select(
+        F.to_date("o_orderdate").alias("date"), F.concat(F.lit("i"), key.cast("string")).alias("indicator"), F.concat(F.lit("r"), (key % 5).cast("string")).alias("source"), F.col("o_totalprice").alias("value"),
         F.lit("index").alias("unit"), F.lit("B").alias("frequency"), F.lit("snap").alias("snapshot_id"), F.lit("run").alias("run_id"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("ingested_at"),
     )
 
@@ -375,26 +397,245 @@ def _loaded(spark: SparkSession, d: str) -> Lake:
     return lake
 
 
-@query("""SELECT DATE '2024-01-01' + (n_nationkey % 10)::INT AS date, n_name AS indicator, 'r' || CAST(n_regionkey AS VARCHAR) AS source,
-  n_nationkey::DOUBLE + CASE WHEN n_regionkey IN (1, 3) THEN 100 ELSE 0 END AS value FROM nation""", "date")
+@query("""SELECT CAST(o_orderdate AS DATE) AS date, 'i' || CAST(o_orderkey AS VARCHAR) AS indicator, 'r' || CAST(o_orderkey % 5 AS VARCHAR) AS source,
+  round(o_totalprice + CASE WHEN o_orderkey % 5 IN (1, 3) THEN 100 ELSE 0 END, 6) AS value FROM orders""", "date")
 def idempotent_load(spark, d):
-    return _loaded(spark, d).table("macro_data").select("date", "indicator", "source", "value")
+    return _loaded(spark, d).table("macro_data").select("date", "indicator", "source", r6("value").alias("value"))
 
 
-@query("""WITH n AS (SELECT *, DATE '2024-01-01' + (n_nationkey % 10)::INT AS day FROM nation), two AS (SELECT * FROM n WHERE n_regionkey IN (1, 3)),
-  loads AS (SELECT 1 AS k, n_regionkey, (SELECT min(day) FROM n) AS lo, (SELECT max(day) FROM n) AS hi FROM n UNION ALL SELECT k, n_regionkey, (SELECT min(day) FROM two), (SELECT max(day) FROM two) FROM two, (VALUES (2), (3)) v(k))
-  SELECT 'macro_data' AS dataset, 'r' || CAST(n_regionkey AS VARCHAR) AS source, count(*) AS row_count, min(lo) AS date_min, max(hi) AS date_max FROM loads GROUP BY k, n_regionkey""", "date_min", "date_max")
+@query("""WITH n AS (SELECT o_orderkey % 5 AS r, CAST(o_orderdate AS DATE) AS day FROM orders), two AS (SELECT * FROM n WHERE r IN (1, 3)),
+  loads AS (SELECT 1 AS k, r, (SELECT min(day) FROM n) AS lo, (SELECT max(day) FROM n) AS hi FROM n UNION ALL SELECT k, r, (SELECT min(day) FROM two), (SELECT max(day) FROM two) FROM two, (VALUES (2), (3)) v(k))
+  SELECT 'macro_data' AS dataset, 'r' || CAST(r AS VARCHAR) AS source, count(*) AS row_count, min(lo) AS date_min, max(hi) AS date_max FROM loads GROUP BY k, r""", "date_min", "date_max")
 def load_metadata(spark, d):
     return _loaded(spark, d).table("dataset_metadata").select("dataset", "source", "row_count", "date_min", "date_max")
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name || ', \"' || CAST(n_regionkey AS VARCHAR) || '\"' END AS label FROM nation")
+@query("""SELECT 'dataset_metadata' AS name, 13 - 4 AS n_rows UNION ALL SELECT 'macro_data', (SELECT count(*) FROM orders)::INT UNION ALL SELECT 'market_prices', 0 UNION ALL SELECT 'validation_results', 0""")
+def table_counts(spark, d):
+    """Tables of a lake and their rows; five sources are loaded, then two of them twice."""
+    lake = _loaded(spark, d)
+    return spark.createDataFrame([(name, lake.row_count(name)) for name in lake.tables()], "name string, n_rows int")
+
+
+@query("""SELECT source, count(*) AS n, round(max(value), 6) AS most FROM (SELECT 'r' || CAST(o_orderkey % 5 AS VARCHAR) AS source, o_totalprice + CASE WHEN o_orderkey % 5 IN (1, 3) THEN 100 ELSE 0 END AS value FROM orders)
+  WHERE value > 100000 GROUP BY 1""")
+def query_sql(spark, d):
+    """Any SQL over the tables of a lake, with parameters."""
+    return _loaded(spark, d).query("SELECT source, count(*) AS n, round(max(value), 6) AS most FROM macro_data WHERE value > ? GROUP BY source", [100000.0])
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority || ', \"' || o_orderstatus || '\"' END AS label FROM orders")
 def raw_roundtrip(spark, d):
-    """A payload as a connector hands it over (a table of fixed size), through the raw zone."""
-    quoted = F.concat(F.col("n_name"), F.lit(', "'), F.col("n_regionkey").cast("string"), F.lit('"'))
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(quoted)).collect()
+    """A payload as a connector hands it over, row by row, through the raw zone."""
+    quoted = F.concat(F.col("o_orderpriority"), F.lit(', "'), F.col("o_orderstatus"), F.lit('"'))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(quoted)).toLocalIterator()
     zone = RawZone(spark, shared_folder(spark))
     snapshot = zone.write("test", "macro_data", ["id", "label"], rows, Run.new("offline", {}), retrieved_at=utc_now())
-    if zone.verify([snapshot]):
+    if zone.verify([snapshot]) or zone.files.sha256(snapshot.path) != snapshot.checksum_sha256:
         raise ValueError("the payload changed on its way")
     return zone.read(snapshot).drop(ORDER)
+
+
+@query("""SELECT CAST(l_shipdate AS DATE) AS date, CASE l_partkey % 5 WHEN 0 THEN 'SPY' WHEN 1 THEN 'TLT' ELSE 'GLD' END AS ticker, 'yahoo' AS source, l_extendedprice AS open, 1000 + l_linenumber::DOUBLE AS high,
+  CASE WHEN l_linenumber > 1 THEN l_discount END AS low, l_tax AS close, NULL::DOUBLE AS adj_close, l_quantity * 10 AS volume, 'USD' AS currency FROM lineitem WHERE l_partkey % 5 < 3""", "date")
+def normalize_market(spark, d):
+    """Text payloads of bars to the canonical table: padded and undeclared symbols, numbers as text, missing tokens."""
+    text = lambda c: F.col(c).cast("string")
+    symbol = F.element_at(F.array(*map(F.lit, (" SPY ", "TLT", "GLD\t", "spy", "NOPE"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    raw = table(spark, d, "lineitem").select(
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), symbol.alias("ticker"), text("l_extendedprice").alias("open"), F.concat(F.lit(" 1,00"), text("l_linenumber")).alias("high"),
+        F.when(F.col("l_linenumber") == 1, "NA").otherwise(text("l_discount")).alias("low"), text("l_tax").alias("close"), F.lit(".").alias("adj_close"), F.concat(text("l_quantity"), F.lit("e1")).alias("volume"),
+    )
+    done = normalize.market(raw, source="yahoo", snapshot_id="s", run_id="r", ingested_at=utc_now())
+    return done.select("date", "ticker", "source", "open", "high", "low", "close", "adj_close", "volume", "currency")
+
+
+@query("""WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS date FROM orders)
+  SELECT date, 'US_TREASURY_10Y' AS indicator, 'yahoo' AS source, round(o_totalprice * 0.1, 6) AS value, 'percent' AS unit, 'B' AS frequency FROM o WHERE o_custkey % 2 = 0
+  UNION ALL SELECT date, CASE o_custkey % 4 WHEN 0 THEN 'US_TREASURY_10Y' WHEN 1 THEN 'US_TREASURY_2Y' ELSE 'US_CPI_LEVEL' END, 'fred', CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END,
+    CASE o_custkey % 4 WHEN 2 THEN 'index' ELSE 'percent' END, CASE o_custkey % 4 WHEN 2 THEN 'M' ELSE 'B' END FROM o WHERE o_custkey % 4 < 3 AND o_orderkey % 7 <> 0
+  UNION ALL SELECT date, i, 'akshare', CASE i WHEN 'CN_TREASURY_2Y' THEN o_totalprice ELSE o_orderkey::DOUBLE END, 'percent', 'B' FROM o, (VALUES ('CN_TREASURY_2Y'), ('US_TREASURY_10Y')) v(i)""", "date")
+def normalize_macro(spark, d):
+    """Three shapes of payload to one table: bars, long with missing values and unreadable dates, wide with labels."""
+    orders = table(spark, d, "orders")
+    day, price = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_totalprice").cast("string")
+    series_id = F.element_at(F.array(*map(F.lit, ("DGS10", " DGS2", "CPIAUCSL", "NOPE"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    raw = {
+        "yahoo": orders.select(day.alias("date"), F.when(F.col("o_custkey") % 2 == 0, "^TNX").otherwise("^X").alias("ticker"), price.alias("close")),
+        "fred": orders.select(F.when(F.col("o_orderkey") % 7 == 0, "soon").otherwise(day).alias("date"), series_id.alias("series_id"), F.when(F.col("o_orderkey") % 10 == 0, ".").otherwise(price).alias("value")),
+        "akshare": orders.select(day.alias(CURVE_DATE), price.alias(CURVE_LABELS["CN2Y"]), F.col("o_orderkey").cast("string").alias(CURVE_LABELS["US10Y"]), F.lit("1").alias("another column")),
+    }
+    parts = [normalize.macro(df, source=s, snapshot_id="s", run_id="r", ingested_at=utc_now()).select("date", "indicator", "source", r6("value").alias("value"), "unit", "frequency") for s, df in raw.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+UNIT_VALUES = "(VALUES (0, 'percent', 'percent', 1.0), (1, 'tenths_of_percent', 'percent', 0.1), (2, 'basis_points', 'percent', 0.01), (3, 'decimal_rate', 'percent', 100.0), (4, 'index', 'index', 1.0), (5, 'ratio', 'ratio', 1.0)) u(k, source_unit, unit, factor)"
+
+
+@query(f"SELECT o_orderkey, source_unit, unit, round(o_totalprice * factor, 4) AS value FROM orders JOIN {UNIT_VALUES} ON o_orderkey % 6 = k")
+def convert_units(spark, d):
+    known = registries.units(spark)
+    names = F.element_at(F.array(*map(F.lit, registries.conversions())), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    rows = table(spark, d, "orders").withColumn("source_unit", names).join(F.broadcast(known), "source_unit")  # six rows
+    return rows.select("o_orderkey", "source_unit", "unit", F.round(normalize.convert(F.col("o_totalprice"), F.col("factor"), F.lit(1.0)), 4).alias("value"))
+
+
+@query("SELECT 'US_TREASURY_10Y' AS entity, 3::BIGINT AS n_sources, 'akshare,fred,yahoo' AS sources")
+def registry_overlap(spark, d):
+    return registries.observed_by_several(spark)
+
+
+DAILY = "(SELECT CAST(o_orderdate AS DATE) AS date, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1)"
+RUN_AT = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+
+
+def _zone(spark: SparkSession, d: str) -> RawZone:
+    """Snapshots of daily extremes (one row a day): two deliveries of one source, one of another."""
+    daily = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi")).orderBy("day")
+    rows, run, zone = [(r.day, r.lo, r.hi) for r in daily.toLocalIterator()], Run.new("offline", {}), RawZone(spark, shared_folder(spark))
+    zone.write("fred", "macro_data", ["date", "series_id", "value"], ((day, "DGS10", hi) for day, _, hi in rows), run, retrieved_at=RUN_AT)
+    zone.write("fred", "macro_data", ["date", "series_id", "value"], ((day, "DGS10" if i else "DGS2", lo) for i, (day, lo, _) in enumerate(rows)), run, retrieved_at=RUN_AT + dt.timedelta(days=1))
+    zone.write("yahoo", "macro_data", ["date", "ticker", "close"], ((day, "^TNX", hi) for day, _, hi in rows), run, retrieved_at=RUN_AT)
+    return zone
+
+
+def _run(spark: SparkSession, d: str) -> Lake:
+    zone = _zone(spark, d)
+    done = run_pipeline(spark, settings=Settings(data_dir=shared_folder(spark), sample_dir=zone.root))
+    if done.quarantined:
+        raise ValueError(f"quarantined: {done.quarantined}")
+    return Lake(spark, done.warehouse)
+
+
+@query(f"""SELECT date, CASE WHEN date = (SELECT min(date) FROM {DAILY}) THEN 'US_TREASURY_2Y' ELSE 'US_TREASURY_10Y' END AS indicator, 'fred' AS source, lo AS value, 'percent' AS unit FROM {DAILY}
+  UNION ALL SELECT date, 'US_TREASURY_10Y', 'fred', hi, 'percent' FROM {DAILY} WHERE date = (SELECT min(date) FROM {DAILY}) UNION ALL SELECT date, 'US_TREASURY_10Y', 'yahoo', round(hi * 0.1, 6), 'percent' FROM {DAILY}""", "date")
+def run_offline(spark, d):
+    """A whole run over a raw zone; where two deliveries of a source have one key, the later one counts."""
+    return _run(spark, d).table("macro_data").select("date", "indicator", "source", F.when(F.col("source") == "yahoo", r6("value")).otherwise(F.col("value")).alias("value"), "unit")
+
+
+@query("""SELECT * FROM (VALUES ('raw', 'fred', 'payload_not_empty', 2), ('raw', 'fred', 'duplicate_columns', 2), ('raw', 'fred', 'raw_required_columns', 2), ('raw', 'fred', 'raw_unexpected_columns', 2), ('raw', 'fred', 'min_rows', 2),
+  ('raw', 'yahoo', 'payload_not_empty', 1), ('raw', 'yahoo', 'duplicate_columns', 1), ('raw', 'yahoo', 'raw_required_columns', 1), ('raw', 'yahoo', 'raw_unexpected_columns', 1), ('raw', 'yahoo', 'min_rows', 1),
+  ('normalized', 'fred', 'canonical_columns', 2), ('normalized', 'fred', 'dtypes', 2), ('normalized', 'fred', 'primary_key_unique', 2), ('normalized', 'fred', 'timestamp_timezone', 2),
+  ('normalized', 'yahoo', 'canonical_columns', 1), ('normalized', 'yahoo', 'dtypes', 1), ('normalized', 'yahoo', 'primary_key_unique', 1), ('normalized', 'yahoo', 'timestamp_timezone', 1)) v(stage, source, check_name, n)""")
+def run_log(spark, d):
+    """Checks of a run that hold whatever the values are, from the stored log."""
+    always = ["payload_not_empty", "duplicate_columns", "raw_required_columns", "raw_unexpected_columns", "min_rows", "canonical_columns", "dtypes", "primary_key_unique", "timestamp_timezone"]
+    log = validation_report(spark, warehouse=_run(spark, d).root)
+    return log.where(F.col("check_name").isin(*always) & F.col("passed")).groupBy("stage", "source", "check_name").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"""SELECT 'fred' AS source, date, CASE WHEN date = (SELECT min(date) FROM {DAILY}) THEN hi ELSE lo END AS value, 'percent' AS unit FROM {DAILY} UNION ALL SELECT 'yahoo', date, round(hi * 0.1, 6), 'percent' FROM {DAILY}""", "date")
+def us10y_cross_source(spark, d):
+    return us10y(_run(spark, d)).withColumn("value", F.when(F.col("source") == "yahoo", r6("value")).otherwise(F.col("value")))
+
+
+@query(f"SELECT date, CASE WHEN date = (SELECT min(date) FROM {DAILY}) THEN 'US_TREASURY_2Y' ELSE 'US_TREASURY_10Y' END AS indicator, 'fred' AS source, lo AS value FROM {DAILY} UNION ALL SELECT date, 'US_TREASURY_10Y', 'yahoo', round(hi * 0.1, 6) FROM {DAILY}", "date")
+def normalize_latest(spark, d):
+    """The canonical table of the latest snapshot of every source."""
+    done = normalize.normalize_latest(_zone(spark, d), "r")["macro_data"]
+    return done.select("date", "indicator", "source", F.when(F.col("source") == "yahoo", r6("value")).otherwise(F.col("value")).alias("value"))
+
+
+@query(f"SELECT CAST(date AS VARCHAR) AS date, 'DGS10' AS series_id, lo AS value FROM {DAILY} WHERE date > (SELECT min(date) FROM {DAILY})")
+def replay_filtered(spark, d):
+    """A connector that replays the latest snapshot, one symbol of it."""
+    found = connector_for("fred", "macro_data", "offline", zone=_zone(spark, d)).read(spark, FetchRequest("macro_data", ("DGS10",)))
+    return found.withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"""SELECT source, dataset, n::BIGINT AS row_count, latest, true AS intact FROM (VALUES ('fred', 'macro_data', false), ('fred', 'macro_data', true), ('yahoo', 'macro_data', true)) v(source, dataset, latest), (SELECT count(*) AS n FROM {DAILY})""")
+def snapshot_list(spark, d):
+    """Manifests of a raw zone: which snapshot is the latest of its source, and whether payloads are what was written."""
+    zone = _zone(spark, d)
+    found = zone.list_snapshots()
+    changed = {s.snapshot_id for s in zone.verify(found)}
+    rows = [(s.source, s.dataset, s.row_count, zone.latest(s.source, s.dataset) == s, s.snapshot_id not in changed) for s in found]
+    return spark.createDataFrame(rows, "source string, dataset string, row_count long, latest boolean, intact boolean")
+
+
+@query("""SELECT * FROM (VALUES ('akshare', 'macro_data', false, 'CN2Y,CN5Y,CN10Y,CN30Y,US10Y'), ('fred', 'macro_data', true, 'DGS10,DGS2,CPIAUCSL,VIXCLS'), ('yahoo', 'macro_data', false, '^TNX'), ('yahoo', 'market_prices', false, 'SPY,TLT,GLD')) v(source, dataset, requires_api_key, symbols)""")
+def connector_plan(spark, d):
+    """Connectors with what the ingestion plan asks of them."""
+    plan = spark.createDataFrame([(p.source, p.dataset, ",".join(p.symbols)) for p in plan_for()], "source string, dataset string, symbols string")
+    return list_connectors(spark).join(plan, ["source", "dataset"]).select("source", "dataset", "requires_api_key", "symbols")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 40")
+def quarantine_rows(spark, d):
+    """Rejected rows, kept for inspection and read back."""
+    bad = table(spark, d, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    path = Lake(spark, shared_folder(spark)).quarantine("lineitem", "test", Run.new("offline", {}), bad)
+    return spark.read.schema(bad.schema).option("header", True).csv(path)
+
+
+GROUPS = "(SELECT o_orderpriority AS dataset, o_orderstatus AS source, count(*) AS n FROM orders GROUP BY 1, 2)"
+
+
+@query(f"""SELECT dataset, source, 'payload_not_empty' AS check_name, true AS passed, 'INFO' AS severity, 0::BIGINT AS n_offending FROM {GROUPS}
+  UNION ALL SELECT dataset, source, 'min_rows', n >= 1000, CASE WHEN n >= 1000 THEN 'INFO' ELSE 'WARNING' END, CASE WHEN n >= 1000 THEN 0 ELSE n END FROM {GROUPS}""")
+def validation_log(spark, d):
+    """Findings appended to the check log, read back as a report."""
+    lake = Lake(spark, shared_folder(spark))
+    groups = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").count().collect()  # priorities and statuses
+    lake.persist_validation([Checked.now(Subject("run", r[0], r[1], "raw"), r[2], [checks.payload_not_empty(r[2]), checks.min_rows(r[2], 1000)]) for r in groups])
+    return validation_report(spark, "run", warehouse=lake.root).select("dataset", "source", "check_name", "passed", "severity", "n_offending")
+
+
+@query("""SELECT * FROM (VALUES ('whole', 'duplicate_columns', 'INFO', 0), ('whole', 'min_rows', 'INFO', 0), ('whole', 'payload_not_empty', 'INFO', 0), ('whole', 'raw_optional_columns', 'WARNING', 1), ('whole', 'raw_required_columns', 'INFO', 0),
+  ('whole', 'raw_unexpected_columns', 'WARNING', 1), ('empty', 'duplicate_columns', 'ERROR', 1), ('empty', 'min_rows', 'WARNING', 0), ('empty', 'payload_not_empty', 'ERROR', 0), ('empty', 'raw_optional_columns', 'WARNING', 1),
+  ('empty', 'raw_required_columns', 'ERROR', 6), ('empty', 'raw_unexpected_columns', 'INFO', 0), ('other', 'duplicate_columns', 'INFO', 0), ('other', 'min_rows', 'INFO', 0), ('other', 'payload_not_empty', 'INFO', 0), ('other', 'raw_schema_registered', 'WARNING', 0))
+  v(payload, check_name, severity, n)""")
+def raw_drift(spark, d):
+    """Raw checks on a payload with a new column and without an optional one, on an empty one with a label twice, and on one without a contract."""
+    own = table(spark, d, "lineitem").selectExpr("l_shipdate AS date", "l_partkey AS ticker", "l_extendedprice AS open", "l_extendedprice AS high", "l_extendedprice AS low", "l_extendedprice AS close", "l_quantity AS volume", "l_tax AS tax")
+    found = {
+        "whole": checks.validate_raw(own, source="yahoo", dataset="market_prices", run_id="r"),
+        "empty": checks.validate_raw(own.select("date").where("false"), source="yahoo", dataset="market_prices", run_id="r", header=["date", "date"], contract=get_raw_contract("yahoo", "market_prices")),
+        "other": checks.validate_raw(own, source="nobody", dataset="market_prices", run_id="r"),
+    }
+    return spark.createDataFrame([(name, f.check, SPELLED[f.level], f.n) for name, c in found.items() for f in c.found], "payload string, check_name string, severity string, n int")
+
+
+def _described(name: str) -> str:
+    return f"""SELECT '{name}' AS table_name, column_name, CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'float' WHEN column_type = 'VARCHAR' THEN 'string'
+      WHEN column_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'other' END AS family, CASE WHEN column_type LIKE 'TIMESTAMP%' THEN true END AS without_zone FROM (DESCRIBE {name})"""
+
+
+TABLES = ("orders", "lineitem", "events", "embeddings", "documents")
+
+
+@query(" UNION ALL ".join(map(_described, TABLES)))
+def dtype_report(spark, d):
+    """The type family of every column, and of dates whether they are free of a time zone."""
+    rows = []
+    for name in TABLES:
+        schema = table(spark, d, name).schema
+        for f in schema:
+            family = type_family(f.dataType)
+            rows.append((name, f.name, family, checks.timestamp_timezone(schema, f.name).level == HOLDS if family.startswith("datetime") else None))
+    return spark.createDataFrame(rows, "table_name string, column_name string, family string, without_zone boolean")
+
+
+PER_USER = "(SELECT 'u' || CAST(user_id AS VARCHAR) AS indicator, CAST(ts AS DATE) AS date, CASE WHEN event_type IN ('click', 'view') THEN 'a' WHEN event_type = 'purchase' THEN 'b' ELSE 'c' END AS source, max(value) AS value FROM events GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH o AS {PER_USER}, n AS (SELECT DISTINCT indicator, source FROM o), q AS (SELECT x.indicator, x.source AS "left", y.source AS "right" FROM n x JOIN n y ON x.indicator = y.indicator AND x.source < y.source),
+  p AS (SELECT x.indicator, x.source AS "left", y.source AS "right", abs(x.value - y.value) * 100 AS d FROM o x JOIN o y ON x.indicator = y.indicator AND x.date = y.date AND x.source < y.source),
+  s AS (SELECT indicator, "left", "right", count(*) AS n, quantile_cont(d, 0.5) AS median, avg((d > 800)::INT) AS share FROM p GROUP BY 1, 2, 3)
+  SELECT q.indicator, q."left", q."right", coalesce(s.n, 0) AS overlap, CASE WHEN coalesce(s.n, 0) < 20 THEN 0 WHEN s.median > 800 * 20.0 THEN 2 WHEN s.median > 800 OR s.share > 0.1 THEN 1 ELSE 0 END AS level
+  FROM q LEFT JOIN s ON q.indicator = s.indicator AND q."left" = s."left" AND q."right" = s."right" """)
+def cross_source_verdict(spark, d):
+    """The judgement on every pair of sources of every indicator."""
+    e = table(spark, d, "events")
+    source = F.when(F.col("event_type").isin("click", "view"), "a").when(F.col("event_type") == "purchase", "b").otherwise("c")
+    seen = e.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("indicator"), F.to_date("ts").alias("date"), source.alias("source")).agg(F.max("value").alias("value"))
+    return checks.cross_source_verdicts(seen.withColumn("unit", F.lit("percent")), 800.0).select("indicator", "left", "right", "overlap", "level")
+
+
+@query(f"SELECT event_type AS ticker, 's' || CAST(day(date) % 2 AS VARCHAR) AS source, date, row_number() OVER (ORDER BY date, day(date) % 2, event_type) AS place FROM ({BARS}) QUALIFY place <= 40", "date")
+def first_in_order(spark, d):
+    """The first forty rows of a selection, in its order."""
+    rows = _bars(spark, d).select(F.col("event_type").alias("ticker"), F.concat(F.lit("s"), (F.dayofmonth("date") % 2).cast("string")).alias("source"), "date")
+    first = select_rows(rows, "ticker").limit(40).collect()  # forty rows
+    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(first)], "ticker string, source string, date date, place long")

@@ -1,9 +1,10 @@
 """The raw zone: immutable text snapshots with a manifest each.
 
 <root>/<source>/<dataset>/retrieved_date=YYYY-MM-DD/<snapshot id>.csv and .manifest.json beside it. All access goes by
-Spark's file system layer, so the root may be a local folder or any store that Spark reads. A payload that fits one
-driver-side fetch is one file; `write` also takes a large DataFrame and then the payload is a folder of part files,
-checked by Spark against per-file hashes.
+Spark's file system layer, so the root may be a local folder or any store that Spark reads. A payload is what one fetch
+hands to the driver, as one file: rows are taken one by one and written in blocks, so it is never held as a whole.
+Executors hash payloads, all at once; one above WHOLE bytes, which a row of Spark can't hold, is hashed in blocks where
+the run is driven. A payload without line breaks inside its cells is read by many tasks.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
+from itertools import chain
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +28,8 @@ MANIFEST = ".manifest.json"
 #: Arrival order of a row: the snapshot's place in the run, then the row's place in its file.
 ORDER = "_ord"
 PLACE_BITS = 50
+#: Bytes written or hashed at a time; the size from which a payload is no single value.
+CHUNK, WHOLE = 1 << 20, 1 << 30
 
 
 def arrival(place: int = 0) -> Column:
@@ -59,16 +64,42 @@ class Files:
         finally:
             stream.close()
 
-    def write_new(self, path: str, data: bytes) -> None:
-        """Create the file; FileExistsError if it is there already."""
+    def size(self, path: str) -> int:
+        return self.fs.getFileStatus(self._path(path)).getLen()
+
+    def sha256(self, path: str) -> str:
+        """In blocks, for files of any size."""
+        digest = self._jvm.java.security.MessageDigest.getInstance("SHA-256")
+        stream = self._jvm.java.security.DigestInputStream(self.fs.open(self._path(path)), digest)
+        try:
+            self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, self._jvm.org.apache.commons.io.output.NullOutputStream.INSTANCE, CHUNK)
+        finally:
+            stream.close()
+        return bytes(b & 255 for b in digest.digest()).hex()
+
+    def write_new(self, path: str, pieces: Iterable[bytes]) -> None:
+        """Create the file from pieces; FileExistsError if it is there already."""
         if self.exists(path):
             raise FileExistsError(f"refusing to overwrite {path}")
-        stream = self.fs.create(self._path(path), False)
+        stream, held = self.fs.create(self._path(path), False), bytearray()
         try:
-            stream.write(bytearray(data))
+            for piece in pieces:
+                held += piece
+                if len(held) >= CHUNK:
+                    stream.write(held)
+                    held = bytearray()
+            stream.write(held)
         finally:
             stream.close()
 
+    def move_new(self, path: str, to: str) -> None:
+        """Rename; FileExistsError, and the file goes, if there is one of that name."""
+        if self.exists(to):
+            self.fs.delete(self._path(path), False)
+            raise FileExistsError(f"refusing to overwrite {to}")
+        if not self.fs.rename(self._path(path), self._path(to)):
+            raise OSError(f"{path} can't be renamed to {to}")
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -88,6 +119,7 @@ class Snapshot:
     synthetic: bool = False
     replayed_from: str | None = None
     notes: str = ""
+    line_breaks: bool = True  # may cells hold any? Manifests that don't say are read as if so
     folder: str = ""
 
     @property
@@ -110,18 +142,29 @@ class RawZone:
     # Writing
 
     def write(self, source: str, dataset: str, columns: Sequence[str], rows: Iterable[Sequence[Any]], run: Run, *, params: dict[str, Any] | None = None, column_dtypes: dict[str, str] | None = None, synthetic: bool = False, replayed_from: str | None = None, notes: str = "", retrieved_at: dt.datetime | None = None) -> Snapshot:
-        """Store a fetched payload as text, once: a snapshot is never written over."""
+        """Store a fetched payload as text, once: a snapshot is never written over. Rows may be any iterable."""
         stamp, params = retrieved_at or utc_now(), dict(params or {})
-        lines = [[_cell(x) for x in row] for row in rows]
-        payload = "".join(",".join(map(_quoted, row)) + "\n" for row in [list(columns), *lines]).encode()
-        name = f"{source}-{dataset}-{stamp:%Y%m%dT%H%M%SZ}-{stable_hash({'params': params, 'rows': len(lines), 'run': run.run_id})[:8]}"
         folder = f"{self.root}/{source}/{dataset}/retrieved_date={stamp:%Y-%m-%d}"
+        digest, n, breaks = hashlib.sha256(), 0, False
+
+        def lines() -> Iterable[bytes]:
+            nonlocal n, breaks
+            for i, row in enumerate(chain([columns], rows)):
+                line = (",".join(map(_quoted, row if not i else [_cell(x) for x in row])) + "\n").encode()
+                breaks |= line.count(b"\n") > 1 or b"\r" in line
+                n = i
+                digest.update(line)
+                yield line
+
+        spool = f"{folder}/.{uuid.uuid4().hex}"  # the name of the snapshot tells its number of rows
+        self.files.write_new(spool, lines())
+        name = f"{source}-{dataset}-{stamp:%Y%m%dT%H%M%SZ}-{stable_hash({'params': params, 'rows': n, 'run': run.run_id})[:8]}"
         snapshot = Snapshot(
-            name, source, dataset, f"{name}.csv", stamp.isoformat(), len(lines), tuple(columns), dict(column_dtypes or dict.fromkeys(columns, "string")), hashlib.sha256(payload).hexdigest(),
-            params, run.run_id, run.version, run.mode, synthetic, replayed_from, notes, folder,
+            name, source, dataset, f"{name}.csv", stamp.isoformat(), n, tuple(columns), dict(column_dtypes or dict.fromkeys(columns, "string")), digest.hexdigest(),
+            params, run.run_id, run.version, run.mode, synthetic, replayed_from, notes, breaks, folder,
         )
-        self.files.write_new(snapshot.path, payload)
-        self.files.write_new(f"{folder}/{name}{MANIFEST}", (json.dumps(snapshot.manifest(), indent=2, ensure_ascii=False) + "\n").encode())
+        self.files.move_new(spool, snapshot.path)
+        self.files.write_new(f"{folder}/{name}{MANIFEST}", [(json.dumps(snapshot.manifest(), indent=2, ensure_ascii=False) + "\n").encode()])
         return snapshot
 
     # Reading
@@ -136,10 +179,11 @@ class RawZone:
 
     def verify(self, snapshots: list[Snapshot]) -> list[Snapshot]:
         """Those whose payload isn't what was written; executors hash all payloads at once."""
-        if not snapshots:
-            return []
-        hashed = self.spark.read.format("binaryFile").load([s.path for s in snapshots]).select("path", F.sha2("content", 256).alias("sha"))
-        got = {r.path.rpartition("/")[2]: r.sha for r in hashed.collect()}  # one row per snapshot
+        small = [s for s in snapshots if self.files.size(s.path) <= WHOLE]
+        got = {s.payload_file: self.files.sha256(s.path) for s in snapshots if s not in small}
+        if small:
+            hashed = self.spark.read.format("binaryFile").load([s.path for s in small]).select("path", F.sha2("content", 256).alias("sha"))
+            got |= {r.path.rpartition("/")[2]: r.sha for r in hashed.collect()}  # one row per snapshot
         return [s for s in snapshots if got.get(s.payload_file) != s.checksum_sha256]
 
     def header(self, snapshot: Snapshot) -> list[str]:
@@ -152,7 +196,7 @@ class RawZone:
         labels = self.header(snapshot)
         names = [n if labels.index(n) == i else f"{n}.{labels[:i].count(n)}" for i, n in enumerate(labels)]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = self.spark.read.schema(schema).csv(snapshot.path, header=True, escape='"', multiLine=True, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        df = self.spark.read.schema(schema).csv(snapshot.path, header=True, escape='"', multiLine=snapshot.line_breaks, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         # The files are read one by one, so the row number inside this scan is the order of delivery.
         return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], arrival(place).alias(ORDER))
 

@@ -36,14 +36,15 @@ def test_raw_contracts_declare_their_required_columns():
     assert all(set(x.required) <= set(x.columns) for x in c.RAW_CONTRACTS.values()) and len(c.RAW_CONTRACTS) == 4
 
 
-def test_registries():
-    assert r.canonical_ticker("yahoo", " SPY ") == "SPY" and r.canonical_ticker("fred", "SPY") is None
-    assert r.series_mapping("yahoo", "^TNX").source_unit == "tenths_of_percent" and r.canonical_unit("tenths_of_percent") == ("percent", 0.1)
-    assert r.multi_source_indicators() == {"US_TREASURY_10Y": ["akshare", "fred", "yahoo"]}
-    assert r.instrument("GLD").currency == "USD" and r.indicator("US_CPI_LEVEL").frequency == "M" and r.indicator("x") is None
-    assert all(m.indicator in r.INDICATORS for m in r.SERIES.values()) and len(r.SERIES) == 10
-    with pytest.raises(r.UnknownUnitError):
-        r.canonical_unit("furlongs")
-    with pytest.raises(r.UnknownUnitError):
-        r.assert_known_unit("bp")
-    r.assert_known_unit("percent")
+def test_registry(spark):
+    (spy,) = r.declared(source="yahoo", symbol=" SPY ")
+    assert spy.entity == "SPY" and spy.currency == "USD" and not r.declared(source="fred", symbol="SPY")
+    (tnx,) = r.declared(source="yahoo", symbol="^TNX")
+    assert (tnx.source_unit, tnx.unit, tnx.factor, tnx.frequency) == ("tenths_of_percent", "percent", 0.1, "B")
+    assert r.declared(symbol="CPIAUCSL")[0].frequency == "M" and r.declared(symbol="中国国债收益率30年")[0].entity == "CN_TREASURY_30Y"
+    assert [tuple(x) for x in r.observed_by_several(spark).collect()] == [("US_TREASURY_10Y", 3, "akshare,fred,yahoo")]
+    assert r.registry(spark, "macro_data").count() == 10 and r.registry(spark, "market_prices").count() == 3 and r.units(spark).count() == 6
+    for wrong in (lambda: r.conversion("furlongs"), lambda: r.require_canonical("bp")):
+        with pytest.raises(r.UndeclaredUnit):
+            wrong()
+    assert r.require_canonical("percent") == "percent" and r.conversion("basis_points") == ("percent", 0.01)

@@ -40,17 +40,17 @@ def test_sample_payloads_are_the_published_ones(sample):
 
 def test_run_loads_everything_and_finds_the_planted_defects(spark, sample, result):
     assert result.loaded_rows == {"market_prices": 4686, "macro_data": 15615} and not result.quarantined
-    assert sum(len(r.results) for r in result.reports) == 78 and result.n_errors == 2 and result.n_warnings == 5
-    found = {(r.dataset, r.source, c.name): c for r in result.reports for c in r.issues if r.stage == "normalized"}
+    assert sum(len(c.found) for c in result.checked) == 78 == result.n_checks and result.n_errors == 2 and result.n_warnings == 5
+    found = {(c.subject.dataset, c.subject.source, f.check): f for c in result.checked for f in c.reaching(1) if c.subject.stage == "normalized"}
     moves = found["market_prices", "yahoo", "extreme_returns"]
-    assert moves.n_offending == 2 and [e["log_return"] for e in moves.details["examples"]] == [0.4055, -0.3915]
-    assert found["market_prices", "yahoo", "calendar_gaps"].details["per_series"] == {"GLD": {"missing": 12, "max_gap": 12, "unit": "business days", "missing_ratio": 0.0077, "n_observations": 1554}}
-    assert found["macro_data", "fred", "value_missingness"].details["per_series"] == {"US_VIX": {"missing": 8, "n_observations": 1566, "missing_ratio": 0.0051}}
-    assert {k: v["run_length"] for k, v in found["macro_data", "akshare", "stale_values"].details["per_series"].items()} == {"CN_TREASURY_30Y": 12}
-    gaps = found["macro_data", "akshare", "calendar_gaps"].details["per_series"]
+    assert moves.n == 2 and [e["log_return"] for e in moves.evidence["examples"]] == [0.4055, -0.3915]
+    assert found["market_prices", "yahoo", "calendar_gaps"].evidence["per_series"] == {"GLD": {"missing": 12, "max_gap": 12, "unit": "business days", "missing_ratio": 0.0077, "n_observations": 1554}}
+    assert found["macro_data", "fred", "value_missingness"].evidence["per_series"] == {"US_VIX": {"missing": 8, "n_observations": 1566, "missing_ratio": 0.0051}}
+    assert {k: v["run_length"] for k, v in found["macro_data", "akshare", "stale_values"].evidence["per_series"].items()} == {"CN_TREASURY_30Y": 12}
+    gaps = found["macro_data", "akshare", "calendar_gaps"].evidence["per_series"]
     assert len(gaps) == 5 and all((g["missing"], g["max_gap"], g["missing_ratio"]) == (9, 9, 0.0057) for g in gaps.values())
     keys = ("overlap", "median_abs_diff_bp", "p95_abs_diff_bp", "max_abs_diff_bp", "breach_share", "correlation")
-    got = {tuple(c.details["pair"]): (c.passed, *(c.details[k] for k in keys)) for c in result.cross_source.results}
+    got = {tuple(c.evidence["pair"]): (not c.level, *(c.evidence[k] for k in keys)) for c in result.cross_source.found}
     assert got == {
         ("akshare", "fred"): (False, 1557, 43058.9, 57296.72, 58799.4, 1.0, 0.999529),
         ("akshare", "yahoo"): (False, 1557, 43058.27, 57295.562, 58799.61, 1.0, 0.999995),
@@ -127,7 +127,7 @@ def test_bad_payloads(spark, tmp_path):
     out = run_pipeline(spark, settings=settings)
     assert out.quarantined == [("market_prices", "yahoo")] and out.loaded_rows == {}
     assert spark.read.option("header", True).csv(f"{out.warehouse}/quarantine/*").count() == 30
-    stages = {(r.dataset, r.source, r.stage): r.blocking for r in out.reports}
+    stages = {c.subject[1:]: c.level() == 2 for c in out.checked}
     assert stages["macro_data", "yahoo", "raw"] and ("macro_data", "yahoo", "normalized") not in stages
     snapshot = zone.latest("yahoo", "market_prices")
     path = Path(snapshot.path.removeprefix("file:"))
