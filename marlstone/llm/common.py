@@ -97,6 +97,14 @@ def kept_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     return numbered.where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def drawn_texts(rows: DataFrame, ids: DataFrame, most_bytes: int, group: str) -> DataFrame:
+    """group, text of the rows whose doc_id was drawn: of each group as many whole texts as fit into most_bytes, the
+    shorter ones first where not all do; rows that are equal in id, group and text are one."""
+    own = rows.join(F.broadcast(ids), "doc_id").select(group, "doc_id", "text").where("text is not null").distinct()
+    shorter = Window.partitionBy(group).orderBy(F.octet_length("text"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("__bytes", F.sum(F.octet_length("text")).over(shorter)).where(F.col("__bytes") <= most_bytes).select(group, "text")
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

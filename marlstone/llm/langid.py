@@ -7,9 +7,10 @@ that cosine is below the radius for texts of its length; the radii are half the
 texts, and by pieces of them, of about that many letters, so they only turn away what resembles no language learned.
 
 The model is fitted on a bounded sample: of the labelled rows outside the held-out quarter, the `per_language`
-documents of each language with the smallest hash of their id. The bound is the parameter: about four times as many
-ids per language are ranked, and the sample, not the corpus, reaches the driver. Prediction is one pass
-over whole texts with the model in the closure (languages * clusters * dims floats).
+documents of each language with the smallest hash of their id, and of those as many whole texts as fit into
+`language_bytes`, the shorter first. These parameters bound what reaches the driver; about four times as many ids per
+language are ranked. Prediction is one pass over whole texts with the model in the closure: languages * clusters * dims
+floats, for up to `languages` labels; a table with more of them is refused.
 
 Defined cases: null text, or text without a letter, is `und` with score 0 and rejected. Without any labelled row every
 text is `und` with score 0, and only texts without a letter are rejected. A null doc_id is never trained on and not held out. Repeated rows each get their row.
@@ -25,9 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick, slices
+from .common import as_bytes, drawn_texts, pick, slices
 
-DIMS, CLUSTERS, PER_LANGUAGE, UNKNOWN = 4096, 3, 300, "und"
+DIMS, CLUSTERS, UNKNOWN = 4096, 3, "und"
+#: Bounds of the sample: documents and bytes of each language, and languages.
+PER_LANGUAGE, LANGUAGE_BYTES, LANGUAGES = 300, 4 << 20, 500
+#: Rows and bytes whose dense counts a worker holds at once.
+ROWS, BYTES = 256, 1 << 18
 #: Letters in the pieces of training texts that set the radii for short texts.
 PIECE_LETTERS = (2, 4, 8, 16, 32, 64, 128, 256)
 
@@ -140,18 +145,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_language documents of each language, chosen by a hash of their id."""
-    able = pick(docs, "doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, language_bytes: int = LANGUAGE_BYTES, languages: int = LANGUAGES) -> list[tuple[str, str]]:
+    """(lang, text) of a bounded sample; see above."""
+    able = pick(docs, "doc_id", "lang", "text").where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id")))
     # A language's share of ids by hash, about four times the bound, so that the ranking sees as many rows whatever the table's size.
-    counts = able.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = able.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages are labelled")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # The model holds centroids of every language, so one count per language is small by design.
-    drawn = able.select("lang", "doc_id").join(F.broadcast(counts), "lang").where(draw * F.col("n") <= 4 * per_language)
+    known = docs.sparkSession.createDataFrame(counts, "lang string, n long")
+    drawn = able.select("lang", "doc_id").join(F.broadcast(known), "lang").where(draw * F.col("n") <= 4 * per_language)  # `languages` rows
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
     ids = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id").distinct()
-    rows = able.join(F.broadcast(ids), "doc_id").select("lang", "text").collect()  # bounded by per_language
-    return [(r.lang, r.text) for r in rows]
+    return [(r.lang, r.text) for r in drawn_texts(able, ids, language_bytes, "lang").collect()]  # bounded by rows and bytes
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -159,7 +165,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(len(model.idf) if model else DIMS)
-        for b in slices(batches, most=1 << 18):
+        for b in slices(batches, most=BYTES, rows=ROWS):
             texts = as_bytes(b.column(1))
             counts, letters = grams.counts(texts)
             some = letters > 0
@@ -184,7 +190,7 @@ def keep_known(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(len(model.idf) if model else DIMS)
-        for b in slices(batches, column=names[at], most=1 << 18):
+        for b in slices(batches, column=names[at], most=BYTES, rows=ROWS):
             counts, letters = grams.counts(as_bytes(b.column(at)))
             kept = letters > 0
             if model:
