@@ -1,4 +1,8 @@
-"""Removal of repeated byte strings: prefix doubling over ranked positions, with ranks that need no global numbering.
+"""Removal of repeated byte strings: ranks of doubled lengths at anchors, instead of prefix doubling over all positions.
+
+Literal prefix doubling sorts a rank pair of every position at every round, which does not fit the disk limit (README).
+What is kept of it: ranks of doubled lengths, and Spark's sorts of rank pairs at growing lengths; what differs: ranks
+need no global numbering, and only anchors are sorted first, then what shares an anchor, then single starts.
 
 A position's rank at length L names the L bytes that start there. Doubling names 2L bytes by the pair (rank at p, rank
 at p + L); lengths between powers overlap the two halves. Positions whose rank is unique at some length are unique at
@@ -125,13 +129,14 @@ def anchors(buf: np.ndarray, first: np.ndarray, starts: np.ndarray) -> tuple[np.
     return r[x].view(np.int64), context.view(np.int64), begin, n, np.searchsorted(first, begin, side="right") - 1
 
 
-def _first_seen(name: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Row numbers in order of (name, doc, start)."""
+def _first_seen(names: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Row numbers in order of (names, doc, start)."""
     if len(doc) > 1 and not ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (start[1:] >= start[:-1]))).all():
         order = np.lexsort((start, doc))
-        order = order[np.argsort(name[order], kind="stable")]
     else:
-        order = np.argsort(name, kind="stable")
+        order = np.arange(len(doc))
+    for name in reversed(names):
+        order = order[np.argsort(name[order], kind="stable")]
     return order
 
 
@@ -148,11 +153,10 @@ def _runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 def _combined(key, context, doc, start, n) -> Iterator[pa.RecordBatch]:
     """What a task sends of the anchors it has seen: first contexts, markers, and repeats that are already certain."""
-    name = key ^ (context * np.int64(31))
-    order = _first_seen(name, doc, start)
-    key, context, doc, start, n, name = (x[order] for x in (key, context, doc, start, n, name))
+    order = _first_seen((key, context), doc, start)
+    key, context, doc, start, n = (x[order] for x in (key, context, doc, start, n))
     old = np.zeros(len(key), bool)
-    old[1:] = name[1:] == name[:-1]
+    old[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
     out = [[], [], [], []]
 
     def send(k, c, d, s, m, flag):
@@ -163,8 +167,6 @@ def _combined(key, context, doc, start, n) -> Iterator[pa.RecordBatch]:
     for col, x in zip(out, (_mix(d.astype(np.uint64)).view(np.int64) ^ s, m, d, (s << 9) | REPEAT), strict=True):
         col.append(x)
     key, context, doc, start, n = (x[~old] for x in (key, context, doc, start, n))
-    order = np.argsort(key, kind="stable")
-    key, context, doc, start, n = (x[order] for x in (key, context, doc, start, n))
     first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(first, len(key)))
     common = np.repeat(sizes > MANY, sizes)
