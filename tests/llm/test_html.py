@@ -50,6 +50,57 @@ def test_consensus_layout(spark):
     assert got[100].text == "Short."
 
 
+INSIDE = ["<div class='legal'>{}</div>", "<section id='related-work'><p>{}</p></section>", "<p class='side-effects'>{}</p>", "<div class='search'>{}</div>", "<p>a <span class='header'>{}</span></p>", "<blockquote class='reviews'>{}</blockquote>", "<div class='ad-hoc'>{}</div>", "<p><math>{}</math></p>", "<p><object>{}</object></p>", "<pre class='comment'>{}</pre>"]
+FURNITURE = ["<div class='ad'>{}</div>", "<div class='share-buttons'>{}</div>", "<aside>{}</aside>", "<nav>{}</nav>", "<footer>{}</footer>", "<form>{}</form>", "<section id='comments'><p>{}</p></section>", "<ul class='related-links'><li>{}</ul>", "<div role='complementary'>{}</div>", "<div class='cookie-notice'>{}</div>", "<div hidden>{}</div>", "<script>{}</script>"]
+
+
+@pytest.mark.parametrize(("part", "stays"), [(x, True) for x in INSIDE] + [(x, False) for x in FURNITURE])
+def test_parts_of_an_article(part, stays):
+    article = "<article><h1>On things</h1><p>A first paragraph, with some words, and commas.</p>" + part.format("these words here") + "<p>The last one, which ends it.</p></article>"
+    assert ("these words here" in html.extract(html.read(f"<body>{article}</body>"), [])) is stays
+
+
+@pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'>{}</div>", "<div class='layout has-sidebar'>{}</div>", "<div class='sidebar'>{}</div>", "<form id='aspnet'>{}</form>", "<div class='ad'><div class='footer'>{}</div></div>"])
+def test_wrappers_of_the_article_are_no_furniture(wrap):
+    for tag in ("article", "div"):
+        body = f"<{tag}><p>The text itself, long enough, with commas, to be what the page is for.</p></{tag}>"
+        assert html.extract(html.read(wrap.format(body)), []).startswith("The text itself")
+
+
+def test_sibling_boxes_rare_templates_and_furniture_by_repetition(spark):
+    """One host: an article in two boxes, a third of a page's prose that is the same on every page, four templates."""
+    words = lambda n, k: ", ".join(f"w{n}x{i}" for i in range(k))
+    same = "<div class='about'><p>" + words("same", 60) + "</p></div>"
+    rows = [(n, f"http://h.org/{n}", f"<body><div class='wrap'><div class='intro'><p>{words(n, 30)}</p></div><div class='rest'><p>{words(n + 500, 40)}</p></div></div>{same}</body>") for n in range(20)]
+    rows += [(100 + 10 * k + n, f"http://h.org/t{k}/{n}", f"<body><div class='kind{'abcd'[k]}'><p>{words(100 + 10 * k + n, 30)}</p></div>{same}</body>") for k in range(4) for n in range(6)]
+    got = texts(spark, rows)
+    for n in range(20):
+        assert got[n].text == f"{words(n, 30)}\n{words(n + 500, 40)}"
+    for n in [100 + 10 * k + i for k in range(4) for i in range(6)]:
+        assert got[n].text == words(n, 30)
+
+
+def test_winners_by_brute_force(spark):
+    """Votes, furniture and order of the winning paths, recounted page by page."""
+    own = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    table = [(re.match(html.HOST, r.url)[1].lower(), html.read(r.html or "")) for r in own.collect()]
+    want = {}
+    for host in {h for h, _ in table}:
+        mine, sums, seen = [p for h, p in table if h == host], {}, {}
+        for page in mine:
+            for path, vote in html.best(page):
+                inside = html.within(page, {path})
+                sums[path] = sums.get(path, 0) + vote
+                seen.setdefault(path, []).append("\n".join(t for t, at, _ in page.blocks if inside[at]))
+        won = [p for p in sums if len(seen[p]) >= html.STAPLE * len(mine) and not (len(seen[p]) >= html.SAME_PAGES and len(set(seen[p])) <= html.SAME_SHARE * len(seen[p]))]
+        if won:
+            want[host] = sorted(((p, round(sums[p], 6)) for p in won), key=lambda x: (-x[1], x[0]))
+    from pyspark.sql import functions as F
+
+    got = html.winners(own.select("html", F.lower(F.regexp_extract("url", html.HOST, 1)).alias("host"))).collect()
+    assert {r.host: [(x["path"], x["vote"]) for x in r.ranked] for r in got} == want and want
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
@@ -60,7 +111,7 @@ def test_consensus_layout(spark):
 )
 def test_odd_pages(source, want):
     page = html.read(source or "")
-    assert html.extract(page, []) == want or want == "one\ntwo" and html.extract(page, [""]) in (want, "one")
+    assert html.extract(page, []) == want or want == "one\ntwo" and html.extract(page, [("", 1.0)]) in (want, "one")
 
 
 def test_edge_rows(spark):
