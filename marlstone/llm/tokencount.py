@@ -1,17 +1,18 @@
 """Token counts under a unigram vocabulary by dynamic programming shared along a trie of distinct pre-tokens.
 
 A pre-token is a white-space-free word with the word mark before it. Its segmentation is the one with the highest sum
-of piece scores (ties: fewer tokens); forward scores depend on the prefix alone. The distinct pre-tokens of a slice
-of documents form a trie, walked in sorted order with the current path's forward scores on a stack: what two words
-share is computed once, and each terminal stores its token count in a bounded table, so a document's count is the sum
-of its words' terminals. No shuffle: one pass over whole texts.
+of piece scores (ties: fewer tokens); forward scores depend on the prefix alone. The distinct pre-tokens that a worker
+meets are inserted in one trie, kept from slice to slice: a node holds its forward score and the vocabulary prefixes
+that are still alive there, so a new node looks only at pieces that may end in it, and what two words share is scored
+once. Each terminal stores its token count, so a document's count is the sum of its words' terminals. Trie and
+terminals are started anew when they reach their bounds, which changes no result. No shuffle: one pass over whole texts.
 
 The vocabulary file is a parameter; nothing is trained. The file's ids are in order of merge rank, and piece scores
 follow Zipf's rule on them: -log(id + 2). A character outside the vocabulary is spelled in its UTF-8 bytes, each one
 token with the score of `byte_score`.
 
 Defined cases: null or blank text has 0 words and 0 tokens; repeated rows and null doc_ids keep their rows; an empty
-table gives no rows; a word of any length takes memory in proportion to its length only.
+table gives no rows; a word of any length takes the nodes of its first characters and, beyond them, one node at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, pick, slices
 
-MARK, BYTE_SCORE, TABLE = "▁", -20.0, 400_000
+MARK, BYTE_SCORE = "▁", -20.0
+#: Words whose counts, and trie nodes whose scores, a worker keeps.
+TABLE, NODES = 400_000, 250_000
+#: Characters of a word that are kept as nodes; deeper ones are scored and let go, so a word of any length takes little.
+DEEP = 64
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -36,44 +41,62 @@ def load_pieces(path: str) -> dict[str, float]:
     return {p.id_to_piece(i): -math.log(i + 2) for i in own}
 
 
+class Node:
+    """One prefix of pre-tokens: the best score and fewest tokens of its segmentation, and the pieces begun but not ended:
+    (vocabulary state, score and tokens before the piece), the longest first."""
+
+    __slots__ = ("best", "children", "count", "live")
+
+    def __init__(self, best: float, count: int, live: list):
+        self.best, self.count, self.live, self.children = best, count, live, {}
+
+
 class TrieCounter:
     """Token counts of distinct pre-tokens, forward scores shared by prefix."""
 
-    def __init__(self, pieces: dict[str, float], byte_score: float = BYTE_SCORE, table: int = TABLE):
-        self.pieces, self.byte_score, self.table = pieces, byte_score, table
-        self.longest = max(map(len, pieces), default=1)
+    def __init__(self, pieces: dict[str, float], byte_score: float = BYTE_SCORE, table: int = TABLE, most_nodes: int = NODES):
+        self.pieces, self.byte_score, self.table, self.most_nodes = pieces, byte_score, table, most_nodes
+        #: The vocabulary as a trie: character to state; under None the score of a piece that ends there.
+        self.states: dict = {}
+        for piece, score in pieces.items():
+            at = self.states
+            for c in piece:
+                at = at.setdefault(c, {})
+            at[None] = score
+        self.root = Node(0.0, 0, [])
         self.terminal: dict[bytes, int] = {}
-        self.nodes = 0
-
-    def _extend(self, path: str, best: list[float], count: list[int], frm: int) -> None:
-        """Forward scores of the trie nodes of `path` deeper than `frm`."""
-        get, longest = self.pieces.get, self.longest
-        self.nodes += len(path) - frm
-        for i in range(frm + 1, len(path) + 1):
-            c = path[i - 1]
+        self.nodes = self.held = 0
+
+    def _child(self, node: Node, c: str, keep: bool) -> Node:
+        top, fewest = -math.inf, 0
+        if c not in self.pieces:
             n = len(c.encode())
-            top, fewest = (-math.inf, 0) if c in self.pieces else (best[i - 1] + n * self.byte_score, count[i - 1] + n)
-            for j in range(max(0, i - longest), i):
-                s = get(path[j:i])
-                if s is not None:
-                    s += best[j]
-                    if s > top or s == top and count[j] + 1 < fewest:
-                        top, fewest = s, count[j] + 1
-            best.append(top)
-            count.append(fewest)
+            top, fewest = node.best + n * self.byte_score, node.count + n
+        live = []
+        for state, best, count in [*node.live, (self.states, node.best, node.count)]:
+            state = state.get(c)
+            if state is not None:
+                live.append((state, best, count))
+                score = state.get(None)
+                if score is not None:
+                    score += best
+                    if score > top or score == top and count + 1 < fewest:
+                        top, fewest = score, count + 1
+        child = Node(top, fewest, live)
+        self.nodes += 1
+        if keep:
+            node.children[c] = child
+            self.held += 1
+        return child
 
     def learn(self, words: set[bytes]) -> None:
-        path, best, count = "", [0.0], [0]
-        for raw, word in sorted(((w, MARK + w.decode()) for w in words), key=lambda x: x[1]):
-            shared = 0
-            for a, b in zip(path, word):  # noqa: B905
-                if a != b:
-                    break
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            self._extend(word, best, count, shared)
-            path = word
-            self.terminal[raw] = count[-1]
+        for raw in words:
+            if self.held > self.most_nodes:
+                self.root, self.held = Node(0.0, 0, []), 0
+            node = self.root
+            for i, c in enumerate(MARK + raw.decode()):
+                node = node.children.get(c) or self._child(node, c, i < DEEP)
+            self.terminal[raw] = node.count
 
     def totals(self, texts: list[bytes]) -> Iterator[tuple[int, int]]:
         """(words, tokens) of each text."""

@@ -51,6 +51,17 @@ def test_shared_prefixes_are_computed_once():
     assert c.nodes == 5 and c.terminal[b"ab"] == slow_count(t.MARK + "ab", c.pieces)
 
 
+def test_the_trie_is_kept_and_its_bounds_change_nothing():
+    pieces = t.load_pieces(t.vocabulary())
+    words = [f"{a}{b}{c}".encode() for a in ("under", "over", "日本") for b in ("stand", "take", "x" * 90) for c in ("", "ing", "er", "ings")]
+    kept, small = t.TrieCounter(pieces), t.TrieCounter(pieces, table=3, most_nodes=10)
+    for w in words:
+        assert list(kept.totals([w])) == list(small.totals([w])) == [(1, slow_count(t.MARK + w.decode(), pieces))]
+    before = kept.nodes
+    kept.learn(set(words[:2]))
+    assert kept.nodes == before and small.held < 10 + t.DEEP + 1
+
+
 def test_edge_rows(docs):
     df = docs([(1, None), (2, ""), (3, " \t\n"), (None, "hello world"), (4, "a" * 5000), (4, "a" * 5000), (5, "日本 \U0001f600 é\x00")])
     pieces = t.load_pieces(t.vocabulary())
