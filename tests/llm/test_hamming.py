@@ -33,7 +33,23 @@ def test_random_near_and_equal_codes(spark):
         rows.append((i, v.tolist()))
     rows += [(i, base.tolist()) for i in range(260, 340)]
     rows += [(400, None), (420, [0.0] * 64), (440, [1.0] * 63), (460, [float("nan")] * 64), (480, [None] * 64), (None, base.tolist()), (0, rows[0][1])]
-    assert as_rows(hamming.search(table(spark, rows))) == brute(rows)
+    want = brute(rows)
+    assert as_rows(hamming.search(table(spark, rows))) == want
+    assert as_rows(hamming.search(table(spark, rows), list_block=4)) == want
+
+
+def test_wider_segments(spark):
+    """Near groups, so that the fourth-root probes of 16-bit segments end early."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        base = rng.normal(size=64)
+        for k in range(14):
+            v = base.copy()
+            v[rng.integers(0, 64, rng.integers(0, 5))] *= -1
+            rows.append((20 * g + k, v.tolist()))
+    assert as_rows(hamming.search(table(spark, rows), segment=16)) == brute(rows)
+    assert [hamming.width(n) for n in (0, 4096, 4097, 1 << 24, (1 << 24) + 1)] == [8, 8, 16, 16, 32]
 
 
 def test_few_rows(spark):
