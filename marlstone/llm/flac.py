@@ -35,6 +35,8 @@ from .common import as_bytes, pick, slices
 BLOCK, RATE, UNIT, GROUP = 1024, 8000, 64, 2048
 CONSTANT, VERBATIM, FIXED, LPC = 0, 1, 8, 32
 SEEK = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+#: Seek points that fit into a metadata block.
+MOST_POINTS = (2**24 - 1) // SEEK.itemsize
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -169,10 +171,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out = []
     for p, own in zip(payloads, frames, strict=True):
         lengths = [len(f) for f in own]
-        seek = np.zeros(len(own), SEEK)
-        seek["sample"] = np.arange(len(own)) * BLOCK
-        seek["offset"] = np.cumsum(lengths) - lengths
-        seek["n"] = [min(BLOCK, len(p) - k * BLOCK) for k in range(len(own))]
+        step = -(-len(own) // MOST_POINTS)  # the table's length has three bytes: of very long texts every step-th frame has a point
+        seek = np.zeros(-(-len(own) // step), SEEK)
+        seek["sample"] = np.arange(0, len(own), step) * BLOCK
+        seek["offset"] = (np.cumsum(lengths) - lengths)[::step]
+        seek["n"] = [min(BLOCK, len(p) - k * BLOCK) for k in range(0, len(own), step)]
         pcm = np.frombuffer(p, np.uint8) ^ 128
         info = struct.pack(">HH", BLOCK, BLOCK) + min(lengths).to_bytes(3, "big") + max(lengths).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(pcm.tobytes()).digest()
@@ -444,17 +447,16 @@ def pcm_blocks(stored: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Store every text, read the stored bytes back, and describe both."""
+    """Store every text (`media`), read the stored streams back, and describe both."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=2 << 20):
-            texts = as_bytes(b.column(1))
-            stored, rows = encode([payload(t) for t in texts]), []
-            for d, t, s, (pcm, blocks) in zip(b.column(0).to_pylist(), texts, stored, decode(stored), strict=True):
+        for b in slices(batches, column="flac", most=2 << 20):
+            rows, stored = [], b.column(2).to_pylist()
+            for d, n, s, (pcm, blocks) in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), stored, decode(stored), strict=True):
                 back = (pcm.view(np.uint8) ^ 128).tobytes()
-                rows.append((d, len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(pcm, blocks)))
+                rows.append((d, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(s), hashlib.sha256(s).hexdigest(), feature(pcm, blocks)))
             yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=names)
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
