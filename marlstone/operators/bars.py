@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import BEFORE, with_previous
+
 PRICES = ("open", "high", "low", "close", "adj_close")
 
 
@@ -29,8 +31,8 @@ def pivot_last(df: DataFrame, date: str, entity: str, value: str, order: str, en
 
 def simple_returns(df: DataFrame, entity: str, date: str, price: str) -> DataFrame:
     """entity, date, ret: price / previous price - 1, without padding of gaps; first rows and zero bases have none."""
-    before = F.lag(price).over(Window.partitionBy(entity).orderBy(date))
-    return df.select(entity, date, (F.try_divide(F.col(price), before) - 1).alias("ret")).where("ret is not null")
+    rows = with_previous(df.select(entity, date, price), entity, [date], price)
+    return rows.select(entity, date, (F.try_divide(F.col(price), F.col(BEFORE)) - 1).alias("ret")).where("ret is not null")
 
 
 def cumulative_returns(returns: DataFrame, entity: str, date: str, ret: str = "ret") -> DataFrame:

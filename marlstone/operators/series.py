@@ -1,22 +1,54 @@
 """Operators on many time series at once: one row per entity out, or the offending rows.
 
-Windows are partitioned by the entity; before them, rows are reduced to distinct dates or counted, so what one task
-sorts is one series' calendar, not its raw rows, except where the values themselves are the subject.
+Windows over calendars are partitioned by the entity: rows are reduced to distinct dates or counted before them, so what
+one task sorts is one series' calendar. Where the rows themselves are the subject, a series is cut into chunks along its
+order, windows run inside a chunk, and the last row of every chunk, one small row, is carried to the next one: a series
+of any number of rows is spread over as many tasks as it has chunks, and its rows are shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import business_days, is_extreme_move, log_move, months
 
 
-def out_of_order(df: DataFrame, entity: str, date: str, order: Column | str) -> DataFrame:
+#: A chunk: 2 to this power of whole numbers, a day of timestamps, a year of dates; anything else is one chunk.
+CHUNK_BITS = 20
+CHUNK, BEFORE = "__chunk", "__before"
+
+
+def in_chunks(df: DataFrame, by: str) -> DataFrame:
+    kind = df.schema[by].dataType
+    if isinstance(kind, T.IntegralType):
+        chunk = F.shiftright(F.col(by).cast("long"), CHUNK_BITS)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        chunk = F.unix_date(F.to_date(by)).cast("long")
+    elif isinstance(kind, T.DateType):
+        chunk = F.year(by).cast("long")
+    else:
+        chunk = F.lit(0).cast("long")
+    return df.withColumn(CHUNK, F.coalesce(chunk, F.lit(-(2**62))))  # nulls come first
+
+
+def with_previous(df: DataFrame, entity: str, order: list[str], value: str) -> DataFrame:
+    """Rows of known entities with the value of the entity's row before (BEFORE, NULL for the first) and their CHUNK."""
+    keyed = in_chunks(df.where(F.col(entity).isNotNull()), order[0])
+    last = keyed.groupBy(entity, CHUNK).agg(F.max(F.struct(F.struct(*order), F.struct(value).alias("v"))).alias("last"))
+    border = last.select(entity, CHUNK, F.lag("last.v").over(Window.partitionBy(entity).orderBy(CHUNK)).alias("__border"))
+    inside = Window.partitionBy(entity, CHUNK).orderBy(*order)
+    rows = keyed.withColumn(BEFORE, F.lag(value).over(inside)).withColumn("__place", F.row_number().over(inside))
+    before = F.when(F.col("__place") == 1, F.col(f"__border.{value}")).otherwise(F.col(BEFORE))
+    return rows.join(border, [entity, CHUNK], "left").withColumn(BEFORE, before).drop("__place", "__border").select(*df.columns, CHUNK, BEFORE)
+
+
+def out_of_order(df: DataFrame, entity: str, date: str, order: str) -> DataFrame:
     """Entities with a date before its predecessor's in order of arrival (a missing date counts): n_out_of_order."""
-    before = F.lag(date).over(Window.partitionBy(entity).orderBy(order))
-    wrong = F.col(date).isNull() | F.coalesce(F.col(date) < before, F.lit(False))
-    return df.where(F.col(entity).isNotNull()).select(entity, wrong.alias("wrong")).groupBy(entity).agg(F.count_if("wrong").alias("n_out_of_order")).where("n_out_of_order > 0")
+    wrong = F.col(date).isNull() | F.coalesce(F.col(date) < F.col(BEFORE), F.lit(False))
+    rows = with_previous(df.select(*dict.fromkeys([entity, date, order])), entity, [order], date)
+    return rows.groupBy(entity).agg(F.count_if(wrong).alias("n_out_of_order")).where("n_out_of_order > 0")
 
 
 def observed_dates(df: DataFrame, entity: str, date: str, frequency: str | None = None, order: str | None = None) -> DataFrame:
@@ -69,20 +101,20 @@ def step_consistency(df: DataFrame, entity: str, date: str, least: int = 10, sla
 
 def stale_runs(df: DataFrame, entity: str, value: str, order: list[str]) -> DataFrame:
     """Per entity: the longest run of equal values in order (ties: the earliest): run_length, value."""
-    known = df.where(F.col(entity).isNotNull() & F.col(value).isNotNull())
-    series = Window.partitionBy(entity).orderBy(*order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(series))).cast("int")
-    numbered = known.select(entity, value, *order, changed.alias("changed")).withColumn("run", F.sum("changed").over(series))
-    runs = numbered.groupBy(entity, "run").agg(F.count("*").alias("run_length"), F.first(value).alias("value"))
+    rows = with_previous(df.where(F.col(value).isNotNull()).select(*dict.fromkeys([entity, value, *order])), entity, order, value)
+    rows = rows.withColumn("changed", (~F.col(value).eqNullSafe(F.col(BEFORE))).cast("int"))
+    earlier = Window.partitionBy(entity).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(entity, CHUNK).agg(F.sum("changed").alias("n")).select(entity, CHUNK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    numbered = rows.withColumn("run", F.sum("changed").over(Window.partitionBy(entity, CHUNK).orderBy(*order))).join(base, [entity, CHUNK])
+    runs = numbered.groupBy(entity, (F.col("run") + F.col("base")).alias("run")).agg(F.count("*").alias("run_length"), F.first(value).alias("value"))
     longest = F.max_by(F.struct("run_length", "value"), F.struct("run_length", -F.col("run"))).alias("longest")
     return runs.groupBy(entity).agg(longest).select(entity, "longest.*")
 
 
 def moves(df: DataFrame, entity: str, price: str, order: list[str], threshold: float) -> DataFrame:
-    """Every row with the log move since the entity's previous row, and whether it is extreme."""
-    before = F.lag(price).over(Window.partitionBy(entity).orderBy(*order))
-    with_before = df.withColumn("__before", before)
-    return with_before.withColumn("log_move", log_move(F.col(price), F.col("__before"))).withColumn("extreme", is_extreme_move(F.col(price), F.col("__before"), threshold)).drop("__before")
+    """Every row of a known entity with the log move since the entity's previous row, and whether it is extreme."""
+    rows = with_previous(df, entity, order, price)
+    return rows.withColumn("log_move", log_move(F.col(price), F.col(BEFORE))).withColumn("extreme", is_extreme_move(F.col(price), F.col(BEFORE), threshold)).drop(BEFORE, CHUNK)
 
 
 def missingness(df: DataFrame, entity: str, value: str) -> DataFrame:

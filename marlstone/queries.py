@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import registries
-from .api import select_rows, summarize_checks, us10y_cross_source as us10y, validation_report
-from .contracts import CURVE_DATE, CURVE_LABELS, MACRO_DATA, MARKET_PRICES, get_raw_contract, type_family
+from .api import list_datasets, named_query, select_rows, summarize_checks, validation_report
+from .contracts import CONTRACTS, CURVE_DATE, CURVE_LABELS, MACRO_DATA, MARKET_PRICES, get_raw_contract, type_family
 from .functions import business_days, date_from_text, months, number_from_text
 from .operators import bars, dedup, normalize, pairs, series
 from .plans import checks
@@ -417,6 +417,25 @@ def table_counts(spark, d):
     return spark.createDataFrame([(name, lake.row_count(name)) for name in lake.tables()], "name string, n_rows int")
 
 
+@query("SELECT 'macro_data' AS dataset")
+def loaded_datasets(spark, d):
+    """Datasets that were loaded at least once."""
+    return spark.createDataFrame([(x,) for x in list_datasets(spark, warehouse=_loaded(spark, d).root)], "dataset string")
+
+
+@query("""SELECT * FROM (VALUES ('macro_data', 'key', 'date,indicator,source', false), ('macro_data', 'provenance', 'snapshot_id,run_id,ingested_at', false), ('macro_data', 'value', 'unit,frequency', false), ('macro_data', 'value', 'value', true),
+  ('market_prices', 'key', 'date,ticker,source', false), ('market_prices', 'provenance', 'snapshot_id,run_id,ingested_at', false), ('market_prices', 'value', 'open,high,low,close,currency', false), ('market_prices', 'value', 'adj_close,volume', true)) v(table_name, role, columns, nullable)""")
+def contract_columns(spark, d):
+    """What the contracts declare: columns by role, and whether they may be null."""
+    rows = []
+    for name, c in sorted(CONTRACTS.items()):
+        for role in ("key", "provenance", "value"):
+            for nullable in (False, True):
+                some = [x for x in c.columns_by_role(role) if c.spec(x).nullable is nullable]
+                rows += [(name, role, ",".join(some), nullable)] if some else []
+    return spark.createDataFrame(rows, "table_name string, role string, columns string, nullable boolean")
+
+
 @query("""SELECT source, count(*) AS n, round(max(value), 6) AS most FROM (SELECT 'r' || CAST(o_orderkey % 5 AS VARCHAR) AS source, o_totalprice + CASE WHEN o_orderkey % 5 IN (1, 3) THEN 100 ELSE 0 END AS value FROM orders)
   WHERE value > 100000 GROUP BY 1""")
 def query_sql(spark, d):
@@ -527,7 +546,8 @@ def run_log(spark, d):
 
 @query(f"""SELECT 'fred' AS source, date, CASE WHEN date = (SELECT min(date) FROM {DAILY}) THEN hi ELSE lo END AS value, 'percent' AS unit FROM {DAILY} UNION ALL SELECT 'yahoo', date, round(hi * 0.1, 6), 'percent' FROM {DAILY}""", "date")
 def us10y_cross_source(spark, d):
-    return us10y(_run(spark, d)).withColumn("value", F.when(F.col("source") == "yahoo", r6("value")).otherwise(F.col("value")))
+    found = named_query(spark, "us10y_cross_source", warehouse=_run(spark, d).root)
+    return found.withColumn("value", F.when(F.col("source") == "yahoo", r6("value")).otherwise(F.col("value")))
 
 
 @query(f"SELECT date, CASE WHEN date = (SELECT min(date) FROM {DAILY}) THEN 'US_TREASURY_2Y' ELSE 'US_TREASURY_10Y' END AS indicator, 'fred' AS source, lo AS value FROM {DAILY} UNION ALL SELECT date, 'US_TREASURY_10Y', 'yahoo', round(hi * 0.1, 6) FROM {DAILY}", "date")

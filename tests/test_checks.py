@@ -249,3 +249,21 @@ def test_cross_source_judges_every_pair_and_unit(spark):
     (broken,) = [c for c in compared if c.level]
     assert broken.level == BROKEN and broken.column == f"p{n - 1:05d}"
     assert len(compared) == checks.DETAILS + 1 and compared[-1].evidence["pairs"] == 3 and not compared[-1].level
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    """Series cut into many chunks, against plain windows over whole series; nulls, ties by a second key, one-row chunks."""
+    from pyspark.sql import Window
+
+    rows = [(i, f"e{i % 3}" if i % 17 else None, (i * 7919) % 400, float((i // 4) % 3) if i % 11 else None, dt.datetime(2024, 1, 1) + dt.timedelta(hours=(i * 37) % 900)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, e string, at long, v double, ts timestamp_ntz").repartition(5)
+    for order in (["at"], ["ts", "id"]):
+        lag = F.lag("v").over(Window.partitionBy("e").orderBy(*order))
+        want = {r.id: r.b for r in df.where("e is not null").withColumn("b", lag).collect()}
+        results = []
+        for bits in (2, 20):
+            monkeypatch.setattr(series, "CHUNK_BITS", bits)
+            got = series.with_previous(df, "e", order, "v")
+            assert {r.id: r[series.BEFORE] for r in got.collect()} == want
+            results.append((sorted(map(tuple, series.stale_runs(df, "e", "v", order).collect())), sorted(map(tuple, series.out_of_order(df, "e", "id", "at").collect())), sorted(map(tuple, series.moves(df, "e", "v", order, 0.1).where("extreme").select("id").collect()))))
+        assert results[0] == results[1] and all(results[0])

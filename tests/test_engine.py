@@ -153,6 +153,17 @@ def test_raw_zone(spark, tmp_path):
     assert zone.latest("x", "y").snapshot_id == later.snapshot_id and zone.latest("x", "z") is None and len(zone.list_snapshots("x")) == 2
     assert zone.header(later) == ["a", "a"] and [c for c in zone.read(later).columns if c != ORDER] == ["a", "a.1"]
     assert not zone.verify([first, later]) and zone.list_snapshots()[0].params == {"p": 1}
+    assert first.line_breaks and not later.line_breaks and zone.list_snapshots("x")[0].manifest() == first.manifest()
+    n = 150_000  # over a block, from a generator, read by many tasks in the order of delivery
+    big = zone.write("x", "big", ["i", "t"], ((i, f"text {i}, {'y' * 20}") for i in range(n)), RUN, retrieved_at=NOW)
+    assert big.row_count == n and zone.files.size(big.path) > 5 * (1 << 20) and zone.files.sha256(big.path) == big.checksum_sha256 and not zone.verify([big])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = zone.read(big)
+        assert df.rdd.getNumPartitions() > 3 and [int(r.i) for r in df.orderBy(ORDER).collect()] == list(range(n))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert not [f for f in zone.files.glob(f"{zone.root}/x/big/*/.*") if not f.endswith(".crc")]
 
 
 def normalized(spark, source, dataset, columns, rows):
