@@ -58,8 +58,11 @@ def test_the_trie_is_kept_and_its_bounds_change_nothing():
     for w in words:
         assert list(kept.totals([w])) == list(small.totals([w])) == [(1, slow_count(t.MARK + w.decode(), pieces))]
     before = kept.nodes
-    kept.learn(set(words[:2]))
-    assert kept.nodes == before and small.held < 10 + t.DEEP + 1
+    kept.learn({words[0]})
+    assert kept.nodes - before == len(t.MARK + words[0].decode()) - t.KEPT and small.held <= 10 + 36 * t.KEPT
+    long = b"ab" * 200
+    kept.learn({long, long + b"c"})
+    assert kept.terminal[long] == slow_count(t.MARK + "ab" * 200, pieces)
 
 
 def test_edge_rows(docs):
