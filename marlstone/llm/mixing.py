@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, pick
+from .common import WORD, cut, free_names, pick, row_id
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -93,15 +93,16 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Ranks are found without the texts; these move once, in the join by id and a hash of id, source and text. Rows that
     are equal in all three share their copies evenly.
     """
-    order = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(2**63 - 1))
-    keyed = docs.select("*", order.alias("__id"), F.xxhash64(F.col("`doc_id`"), F.col("`source`"), F.col("`text`")).alias("__hash"))
-    taken = copies(keyed, keep=("__id", "__hash"), **how)
-    taken = taken.groupBy("kept.__id", "kept.__hash").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    place = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
-    joined = keyed.join(taken, ["__id", "__hash"]).withColumn("__place", place)
-    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__place") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    out = joined.withColumn("__own", own.cast("int")).where("__own > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__own"))).alias("__copy")).drop("__copy")
+    own_id, own_hash, n_copies, n_rows, place, own = free_names(docs, "id", "hash", "copies", "rows", "place", "own")
+    keyed = docs.select("*", row_id().alias(own_id), F.xxhash64(F.col("`doc_id`"), F.col("`source`"), F.col("`text`")).alias(own_hash))
+    taken = copies(keyed, keep=(own_id, own_hash), **how)
+    key = [F.col("kept").getField(c).alias(c) for c in (own_id, own_hash)]
+    taken = taken.groupBy(*key).agg(F.sum("copies").alias(n_copies), F.count("*").alias(n_rows)).where(F.col(n_copies) > 0)
+    numbered = F.row_number().over(Window.partitionBy(own_id, own_hash).orderBy(own_id))
+    joined = keyed.join(taken, [own_id, own_hash]).withColumn(place, numbered)
+    share = F.floor(F.col(n_copies) / F.col(n_rows)) + F.when(F.col(place) <= F.col(n_copies) % F.col(n_rows), 1).otherwise(0)
+    out = joined.withColumn(own, share.cast("int")).where(F.col(own) > 0)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(own))).alias(place)).drop(place)
 
 
 SQL = r"""

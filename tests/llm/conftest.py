@@ -13,7 +13,7 @@ def docs(spark):
         if extra:
             from pyspark.sql import functions as F
 
-            for clash in ("size", "key", "part", "copies", "fingerprint", "start", "score"):
+            for clash in ("size", "key", "part", "copies", "fingerprint", "start", "score", "node", "__id", "__hash", "__copies", "__rows", "__place", "__own", "__bytes", "rest", "spans"):
                 df = df.withColumn(clash, F.lit("clash"))
         return df.repartition(3)
 

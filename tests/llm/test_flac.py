@@ -103,6 +103,17 @@ def test_round_trips_and_known_checksums():
     assert flac.parse_header(flac.frame_header(2**31 + 5, 300) + b"\0" * 8)[1:] == (2**31 + 5, 300)
 
 
+def test_spaced_seek_points(monkeypatch):
+    """Texts too long for a point per frame: the table keeps to its bound and the stream is read back all the same."""
+    monkeypatch.setattr(flac, "MOST_POINTS", 3)
+    texts = [b"some text, again and again. " * n for n in (1, 60, 500)]
+    payloads = [flac.payload(t) for t in texts]
+    stored = flac.encode(payloads)
+    assert all(len(flac.read_metadata(s)[3]) <= 3 for s in stored)
+    for p, (pcm, blocks) in zip(payloads, flac.decode(stored)):
+        assert (pcm.view("uint8") ^ 128).tobytes() == p and [b[0] for b in blocks] == list(range(0, len(p), flac.BLOCK))
+
+
 def test_damage_is_found():
     s = bytearray(flac.encode([flac.payload(b"some words " * 500)])[0])
     for at in (len(s) - 1, len(s) - 700, len(s) // 2):

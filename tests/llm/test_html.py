@@ -80,6 +80,14 @@ def test_sibling_boxes_rare_templates_and_furniture_by_repetition(spark):
         assert got[n].text == words(n, 30)
 
 
+def test_ties_of_votes_go_to_the_smaller_path(spark):
+    one = "<body><div class='b'><p>some words, here</p></div><section class='a'><p>some words, here</p></section></body>"
+    assert texts(spark, [(1, "http://tie.org/", one)])[1].text == "some words, here\nsome words, here"  # siblings with as many votes
+    apart = "<body><div><div class='z'><p>other words, here</p></div></div><section><section class='y'><p>other words, more</p></section></section></body>"
+    page = html.read(apart)
+    assert html.extract(page, [("div>div.z", 1.0), ("section>section.y", 1.0)]) == "other words, here"
+
+
 def test_winners_by_brute_force(spark):
     """Votes, furniture and order of the winning paths, recounted page by page."""
     own = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

@@ -20,6 +20,46 @@ def test_counts_equal_slow_count():
         assert np.array_equal(alone[0], row)
 
 
+def test_prediction_by_plain_cosines(spark):
+    """The registered prediction again, text by text, with dictionaries instead of matrices."""
+    docs = documents(spark, "/root/testdata/sf0.001")
+    model = langid.fit(langid.training_sample(docs))
+    grams = langid.Grams(len(model.idf))
+    rows = docs.select("doc_id", "text").limit(40).collect()
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        ((counts,), (letters,)) = grams.counts([r.text.encode()])
+        if not letters:
+            continue
+        vector = {i: np.log1p(float(c)) * float(model.idf[i]) for i, c in enumerate(counts) if c}
+        size = sum(x * x for x in vector.values()) ** 0.5
+        cosines = [sum(x / size * float(c[i]) for i, x in vector.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: (cosines[k], -k))
+        assert got[r.doc_id].lang_pred == model.languages[model.owner[best]] and abs(got[r.doc_id].score - cosines[best]) < 1e-4
+        assert got[r.doc_id].rejected == bool(cosines[best] < model.radius(np.array([letters]))[0])
+
+
+def test_ties_go_to_the_first_language():
+    sample = [(lang, "the very same words in both of them") for lang in ("zz", "aa") for _ in range(25)]
+    model = langid.fit(sample)
+    best, _ = model.nearest(langid.Grams(len(model.idf)).counts([b"the very same words"])[0])
+    assert model.languages[best[0]] == "aa"
+
+
+def test_the_sample_is_bounded(docs):
+    rows = [(i, "word " * (10 + i), "a", f"l{i % 2}") for i in range(100)]
+    df = docs(rows)
+    assert len(langid.training_sample(df, per_language=5)) == 10
+    few = langid.training_sample(df, language_bytes=600)
+    assert few and all(sum(len(t) for la, t in few if la == lang) <= 600 for lang in ("l0", "l1"))
+    import pytest
+
+    with pytest.raises(ValueError):
+        langid.training_sample(df, languages=1)
+    many = langid.predict(docs([(i, "xy", "a", "en") for i in range(3000)]), langid.fit([("en", "some words here")])).collect()
+    assert len(many) == 3000
+
+
 def test_held_out_accuracy(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     got = {r.doc_id: r for r in langid.digest(docs).collect()}
