@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlstone-"))
+        fs, own = _at(spark, sc.getCheckpointDir())  # Spark's own folder in it, of this application alone
+        fs.deleteOnExit(own)
     return named or sc.getCheckpointDir()
 
 
