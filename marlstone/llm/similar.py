@@ -131,8 +131,9 @@ def nodes(docs: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(least).select("node", "m.*")
 
 
-def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Rows in order of their first columns, as tables that hold every run of equal keys as a whole."""
+def _whole(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[pa.Table]:
+    """Rows in order of their first columns, as tables that hold every run of equal keys as a whole; a run above `most`
+    rows comes in part: its first rows, more than `most`, alone, the others in front of later tables."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -149,6 +150,9 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         elif n:
             yield pa.Table.from_batches([batch.slice(0, n)])
         held.append(batch.slice(n))
+        if most and sum(b.num_rows for b in held) > most:
+            yield pa.Table.from_batches(held)
+            held = []
     if held:
         yield pa.Table.from_batches(held)
 
@@ -218,13 +222,20 @@ def candidates(found: DataFrame, mille: int) -> DataFrame:
                 yield pa.record_batch([pa.array(keys), each(0), each(1), each(3)], names=["key", "node", "n", "sketch"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _whole(batches, 1):
-            key = x.column("key").to_numpy()
+        long = first = None  # the list that has come in part, and its first node
+        for x in _whole(batches, 1, LIST):
+            key, node = x.column("key").to_numpy(), x.column("node").to_numpy()
+            if long is not None and key[0] == long:
+                n = int(np.searchsorted(key, long, side="right"))
+                yield _edges(node[:n], np.full(n, first))
+                x, key, node = x.slice(n), key[n:], node[n:]
             same = key[1:] == key[:-1]
             at = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
             if len(at):
                 sketch = np.frombuffer(b"".join(x.column("sketch").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-                yield _edges(*forest(key[at], x.column("node").to_numpy()[at], x.column("n").to_numpy()[at], sketch, mille))
+                yield _edges(*forest(key[at], node[at], x.column("n").to_numpy()[at], sketch, mille))
+            if len(key) > LIST and key[0] == key[-1]:  # alone, so perhaps not all of it
+                long, first = key[0], node[0]
 
     rows = found.where("length(keys) > 0").select("node", "n", "keys", "sketch").mapInArrow(index, "key long, node long, n long, sketch binary")
     banded = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lists, "a long, b long")

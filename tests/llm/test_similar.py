@@ -107,6 +107,19 @@ def test_clashing_columns_and_empty(docs):
     assert similar.one_of_each(docs([])).count() == 0
 
 
+def test_runs_stay_whole_or_come_in_part():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    for most in (None, 5):
+        key = np.sort(rng.integers(0, 12, 200))
+        cuts = [0, 3, 50, 51, 52, 120, 200]
+        parts = [t.column("key").to_numpy() for t in similar._whole((pa.record_batch([pa.array(key[a:b])], names=["key"]) for a, b in zip(cuts, cuts[1:])), 1, most)]
+        assert np.array_equal(np.concatenate(parts), key)
+        for a, b in zip(parts, parts[1:]):
+            assert a[-1] != b[0] or most and len(a) > most and a[0] == a[-1]
+
+
 def test_sketch_and_bands_of_border_pairs():
     """Pairs at about 0.8: none is lost by its bands or its sketch."""
     rng = np.random.default_rng(2)
