@@ -36,7 +36,7 @@ from .common import as_bytes, cut, kept_rows, row_id, slices, stored, text_hash
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS, DIFFER, LIST, CELL = 32, 5, 52, 16384, 4 << 20
+BANDS, ROWS, DIFFER, LIST, CELL = 32, 5, 52, 16384, 1 << 20
 VALUES = BANDS * ROWS
 #: Words whose hashes a worker remembers.
 WORDS_KEPT = 1 << 17
