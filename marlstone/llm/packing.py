@@ -91,7 +91,7 @@ class ChunkEncoder:
     chunk that is a Latin word and punctuation goes to fast_words, any other one to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread, and one thread's memory, per worker
         from tokenizers import Tokenizer
 
