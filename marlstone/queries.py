@@ -21,7 +21,7 @@ from .contracts import CONTRACTS, CURVE_DATE, CURVE_LABELS, MACRO_DATA, MARKET_P
 from .functions import business_days, date_from_text, months, number_from_text
 from .operators import bars, dedup, normalize, pairs, series
 from .plans import checks
-from .plans.findings import HOLDS, SPELLED, Checked, Subject, log_table
+from .plans.findings import HOLDS, SPELLED, Checked, Subject
 from .plans.ingest import run_pipeline
 from .plans.lake import Lake
 from .settings import Run, Settings, utc_now
