@@ -262,7 +262,9 @@ def _centres(members: DataFrame) -> DataFrame:
     for b in range(64):
         most = most.bitwiseOR(F.when(2 * F.col(f"bit{b}") > F.col("size"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("most")))
-    return members.join(bits.select("tree", most.alias("most")), "tree").groupBy("tree").agg(F.min(F.struct(far.alias("far"), "node")).alias("m")).select("tree", F.col("m.node").alias("centre"))
+    # By a key that neither side nor the aggregation is dealt by, so that the adaptive join can split a large tree.
+    key = F.bitwise_not("tree").alias("key")
+    return members.select("*", key).join(bits.select(key, most.alias("most")), "key").groupBy("tree").agg(F.min(F.struct(far.alias("far"), "node")).alias("m")).select("tree", F.col("m.node").alias("centre"))
 
 
 def cell_links(queries: list[np.ndarray], query_node: np.ndarray, query_part: np.ndarray, sets: list[np.ndarray], node: np.ndarray, part: np.ndarray, mille: int) -> tuple[np.ndarray, np.ndarray]:

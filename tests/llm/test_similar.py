@@ -50,7 +50,7 @@ def test_tables_against_all_pairs(spark):
     assert kept(similar.one_of_each(docs)) == first_of_each([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("edits", [2, 4, 6, 8])
+@pytest.mark.parametrize("edits", [3, 7])
 def test_variants_of_one_text(docs, edits):
     """300 variants of 400 words, some words changed in each: near 0.8 from both sides, with the original or without it."""
     rng = np.random.default_rng(edits)
