@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,36 @@ def drawn_texts(rows: DataFrame, ids: DataFrame, most_bytes: int, group: str) ->
     return own.withColumn("__bytes", F.sum(F.octet_length("text")).over(shorter)).where(F.col("__bytes") <= most_bytes).select(group, "text")
 
 
+#: How to drop what a module keeps in a Python worker between tasks, by the module's name.
+_kept: dict[str, Callable[[], object]] = {}
+
+
+def keeps(module: str, drop: Callable[[], object]) -> None:
+    _kept[module] = drop
+
+
+def give_back(but: str = "") -> None:
+    """Drop what modules other than `but` keep in this process, and return its free memory to the system: a worker outlives
+    its task, and so would the largest heap that any stage has needed."""
+    for module, drop in _kept.items():
+        if module != but:
+            drop()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], but: str = "") -> Callable[[Iterator], Iterator]:
+    """The same function for mapInArrow, in a worker that gives back memory before and after."""
+
+    def task(batches: Iterator) -> Iterator:
+        give_back(but)
+        yield from run(batches)
+        give_back(but)
+
+    return task
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

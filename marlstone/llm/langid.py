@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drawn_texts, pick, slices
+from .common import as_bytes, drawn_texts, lean, pick, slices
 
 DIMS, CLUSTERS, UNKNOWN = 4096, 3, "und"
 #: Bounds of the sample: documents and bytes of each language, and languages.
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 score, out = np.where(some, cosine, 0.0).astype(float), ~some | (cosine < model.radius(letters))
             yield pa.record_batch([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def digest(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -197,4 +197,4 @@ def keep_known(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
                 kept &= model.nearest(counts)[1] >= model.radius(letters)
             yield b.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

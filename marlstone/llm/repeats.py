@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, cut, slices
+from .common import as_bytes, cut, lean, slices
 
 LENGTH, ANCHOR = 100, 24
 WINDOW = LENGTH - ANCHOR + 1
@@ -195,7 +195,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if size:
             yield from _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return docs.mapInArrow(run, "key long, context long, doc long, at long")
+    return docs.mapInArrow(lean(run), "key long, context long, doc long, at long")
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
@@ -349,12 +349,12 @@ def _numbered(docs: DataFrame, rest: tuple[str, ...] = ("doc_id",)) -> DataFrame
 def repeated_starts(numbered: DataFrame) -> DataFrame:
     """(doc, spans): stretches (start, n) of string starts that have occurred before, for documents that have any."""
     order = ("key", "context", "doc", "at")
-    found = cut(_anchor_rows(numbered.select("doc", "text")).repartition("key").sortWithinPartitions(*order).mapInArrow(_ranked_contexts, "doc long, start long, n long, how int"))
+    found = cut(_anchor_rows(numbered.select("doc", "text")).repartition("key").sortWithinPartitions(*order).mapInArrow(lean(_ranked_contexts), "doc long, start long, n long, how int"))
     lists = found.where(f"how <> {DONE}").groupBy("doc").agg(F.collect_list(F.struct("start", "n", "how")).alias("spans"))
     probes = numbered.join(lists, "doc").select("doc", "rest", "text", "spans")
-    to_rank = probes.mapInArrow(_to_rank, "key long, second long, doc long, start long, n long, bytes binary")
+    to_rank = probes.mapInArrow(lean(_to_rank), "key long, second long, doc long, start long, n long, bytes binary")
     order = ("key", "second", "doc", "start")
-    ranked = to_rank.repartition("key").sortWithinPartitions(*order).mapInArrow(_ranked, "doc long, start long, n long")
+    ranked = to_rank.repartition("key").sortWithinPartitions(*order).mapInArrow(lean(_ranked), "doc long, start long, n long")
     every = found.where(f"how = {DONE}").select("doc", "start", "n").union(ranked)
     return every.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -396,7 +396,7 @@ def removed(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([[{"from": x, "to": y} for x, y in r[1]] for r in rows], kind)], names=["doc_id", "text", "kept", "spans"])
 
     joined = _with_spans(docs, ("doc_id",)).select(F.col("rest.doc_id").cast("long").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, text string, kept binary, spans array<struct<from: long, to: long>>")
+    return joined.mapInArrow(lean(run), "doc_id long, text string, kept binary, spans array<struct<from: long, to: long>>")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = tuple(docs.columns)
     rest = tuple(c for c in names if c != "text")
     joined = _with_spans(docs, rest)
-    out = joined.mapInArrow(run, T.StructType([joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
+    out = joined.mapInArrow(lean(run), T.StructType([joined.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n", T.LongType())]))
     own = {c: F.col("rest").getField(c) for c in rest} | {"text": F.col("text")}
     if "n_chars" in own:
         own["n_chars"] = F.coalesce(F.col("n").cast(docs.schema["n_chars"].dataType), own["n_chars"])
@@ -430,4 +430,4 @@ def digest(docs: DataFrame) -> DataFrame:
             rows = [_kept(t, s) for t, s in zip(texts, b.column(2), strict=True)]
             yield pa.record_batch([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, rows, strict=True)], pa.int64()), pa.array([len(g) for _, g in rows], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _ in rows], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST, as_bytes, cut, kept_rows, pick, slices
+from .common import LAST, as_bytes, cut, kept_rows, lean, pick, slices
 from .components import components
 
 WORDS, SEED, WITHIN, LIST_LIMIT = 4, 42, 4, 16384
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(2), pa.array([fingerprint(t, words) for t in as_bytes(b.column(1))], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     own = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return own.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return own.mapInArrow(lean(run), "doc_id long, text_hash long, fp long")
 
 
 def local_links(key: np.ndarray, fp: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def links(distinct: DataFrame, within: int = WITHIN, list_limit: int = LIST_LIMI
                 key, fp = key[:0], fp[:0]
         yield out(*local_links(key, fp, within))
 
-    found = cut(index.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long, key long"))
+    found = cut(index.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(run), "a long, b long, key long"))
     edges, crowded = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("fp"))
     if not crowded.isEmpty():
         edges = edges.union(_by_midpoints(crowded, (within + 1) // 2))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import as_bytes, cut, kept_rows, row_id, slices, stored, text_hash
+from .common import as_bytes, cut, keeps, kept_rows, lean, row_id, slices, stored, text_hash
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -58,6 +58,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+keeps("similar", _hashes.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -126,7 +127,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                 names=["node", "id", "hash", "n", "fp", "keys", "sketch"],
             )
 
-    found = _keyed(docs).select("id", "hash", "text").mapInArrow(run, "node long, id long, hash long, n long, fp long, keys binary, sketch binary")
+    found = _keyed(docs).select("id", "hash", "text").mapInArrow(lean(run, "similar"), "node long, id long, hash long, n long, fp long, keys binary, sketch binary")
     least = F.min(F.struct("id", "hash", "n", "fp", "keys", "sketch")).alias("m")
     return found.groupBy("node").agg(least).select("node", "m.*")
 
@@ -237,8 +238,8 @@ def candidates(found: DataFrame, mille: int) -> DataFrame:
             if len(key) > LIST and key[0] == key[-1]:  # alone, so perhaps not all of it
                 long, first = key[0], node[0]
 
-    rows = found.where("length(keys) > 0").select("node", "n", "keys", "sketch").mapInArrow(index, "key long, node long, n long, sketch binary")
-    banded = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lists, "a long, b long")
+    rows = found.where("length(keys) > 0").select("node", "n", "keys", "sketch").mapInArrow(lean(index, "similar"), "key long, node long, n long, sketch binary")
+    banded = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(lists, "similar"), "a long, b long")
     by_fp = found.groupBy("fp").agg(F.min("node").alias("m"))
     same = found.select("node", "fp").join(by_fp, "fp").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b"))
     near = simhash.links(by_fp.select("fp"))
@@ -311,7 +312,7 @@ def links(docs: DataFrame, found: DataFrame, least: float = SIMILAR) -> DataFram
                 same.append(alike(shingles(t), of_centre, mille))
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(same, pa.bool_())], names=["tree", "node", "centre", "same"])
 
-    star = cut(whole.where("node <> centre").join(centre, "tree").select("tree", "node", "centre", "text", "other").mapInArrow(against_centre, "tree long, node long, centre long, same boolean"))
+    star = cut(whole.where("node <> centre").join(centre, "tree").select("tree", "node", "centre", "text", "other").mapInArrow(lean(against_centre, "similar"), "tree long, node long, centre long, same boolean"))
     out = star.where("same").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     if star.where("not same").isEmpty():
         return out
@@ -335,7 +336,7 @@ def links(docs: DataFrame, found: DataFrame, least: float = SIMILAR) -> DataFram
                     some = lambda f: [v for v, q in zip(sets, is_query, strict=True) if q == f]  # noqa: B023, E731
                     yield _edges(*cell_links(some(True), node[s:e][is_query], part[s:e][is_query], some(False), node[s:e][~is_query], part[s:e][~is_query], mille))
 
-    return out.union(rows.repartition("tree", "x", "y").sortWithinPartitions("tree", "x", "y", "role").mapInArrow(in_cells, "a long, b long"))
+    return out.union(rows.repartition("tree", "x", "y").sortWithinPartitions("tree", "x", "y", "role").mapInArrow(lean(in_cells, "similar"), "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
